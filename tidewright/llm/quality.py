@@ -132,6 +132,8 @@ class Classifier:
     def evidence(self, texts: list[str | None]) -> np.ndarray:
         """Log-likelihood ratios of good against not; the models are fitted with even classes, so a logit is one."""
         q, x = np.zeros(len(texts)), np.zeros(len(texts))
+        if not self.quality.tells and not self.toxic.tells:
+            return q
         for i, t in enumerate(texts):
             shape, words = measure(t or "")
             starts = {k: {w[:k] for w in words if len(w) > k} for k in BEGINNINGS}
@@ -206,7 +208,7 @@ def judge(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     out = scored.join(priors, F.col("path") == F.col("of"), "left").drop("of")
     p = F.greatest(F.lit(0.02), F.least(F.lit(0.98), F.col("path_prior")))
     out = out.withColumn("posterior", 1 / (1 + F.exp(-(F.col("evidence") + F.log(p / (1 - p))))))
-    return out.withColumn("kept", F.col("posterior") >= threshold)
+    return out.withColumn("kept", F.col("posterior") >= threshold - 1e-9)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_cols: tuple = ("lang",), threshold: float = PRIOR) -> DataFrame:
