@@ -30,7 +30,7 @@ def plain(name, text):
 def pair(request):
     t = Tokenizer.from_file(P.path(request.param))
     t.encode_special_tokens = True
-    return t, Encoder(P.path(request.param), limit=500)
+    return t, Encoder(P.path(request.param), limit=700)
 
 
 def same(pair, texts):

@@ -12,24 +12,34 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: As the byte-level pattern treats white space: one space goes with the word after it.
-KEPT = re.compile(r" ?\S+|\s+(?!\S)|\s")
-#: White space to Python's ``re`` and ``str`` but not to the tokenizers: such texts are encoded whole.
+#: White space to Python and Arrow but not to the tokenizers: such texts are encoded whole.
 ODD = re.compile("[\x1c-\x1f]")
+#: Where white space is kept, runs of it can be one piece or several; texts that have runs, or the
+#: mark that pieces are split at, are encoded whole. The others have single spaces, which go with the
+#: word after them, and single line feeds, which stand alone.
+CUT = "\x03"
+RUNS = re.compile("[^\\S \n]|  | \n|\n\n|\n \\Z|[\x03\x1c-\x1f]")
 #: Missing pieces that are encoded as one string.
 JOINED = 1000
 
 
+#: Marks that a letter run ends at, whatever they are followed by, and that never join it.
+MARKS = ",.;:!?"
+
+
 class Encoder:
     """Ids of texts, as little-endian unsigned 32-bit bytes; special-token strings are ordinary text.
 
-    path: a ``tokenizers`` JSON file. limit: pieces that the cache holds before it starts anew.
+    path: a ``tokenizers`` JSON file. limit: pieces in one generation of the cache. A full generation
+    becomes the old one, from which pieces still in use move on; the old one before it is dropped.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -37,18 +47,23 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.vocab = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.limit, self.cache = limit, {}
+        self.limit, self.cache, self.old = limit, {}, {}
         self.split = self.sep = None
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
+        self.lower = bool(norm) and "Lowercase" in json.dumps(norm)
         if norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space"):
-            self.split, self.sep, self.alone = KEPT.findall, "\n", re.compile(r"\s\Z|\A\s+\Z|.\s")
+            self.split, self.sep, self.whole = self._kept, "\n", self._has_runs
         elif norm and self._drops_space(norm, pre):
-            self.split, self.sep, self.alone = str.split, " \x01 ", re.compile("\x01")
+            self.split, self.sep, self.whole = self._dropped, " \x01 ", ODD.search
         if self.sep:
             ids = self._ids([self.sep.strip(" ")])[0]
             self.mark = ids[0] if len(ids) == 1 else None
             if self.mark is None:
                 self.split = None
+        self.bare = self._bare(spec)
+        #: Pieces of white space alone, which the separator could join.
+        self.fixed = {p: np.asarray(self._ids([p])[0], dtype="<u4").tobytes() for p in ("", " ", "\n")}
+        self.cache.update(self.fixed)
 
     @staticmethod
     def _drops_space(norm: dict, pre: dict) -> bool:
@@ -59,37 +74,125 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _bare(self, spec: dict):
+        """The tokenizer's model alone, for runs of letters that are one pre-token: bytes are mapped here.
+
+        Byte-level models write printable Latin-1 bytes as themselves and the others as the characters
+        from 256 on. A line feed between pieces becomes a separator whose id is ``bare_mark``.
+        """
+        from tokenizers import Tokenizer
+
+        levels = [x.get("type") for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [spec.get("pre_tokenizer") or {}])]
+        if self.split is None or "ByteLevel" not in levels:
+            return None
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [x for x in range(256) if x not in printable]
+        self.table = {x: chr(x) for x in printable} | {x: chr(256 + i) for i, x in enumerate(rest)}
+        mark = self.table[1]
+        self.table[10] = f" {mark} "
+        bare = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}))
+        ids = bare.encode(mark, add_special_tokens=False).ids
+        self.bare_mark = ids[0]
+        return bare if len(ids) == 1 else None
+
     def _learn(self, pieces: list[str]) -> None:
-        plain = [p for p in pieces if not self.alone.search(p)]
-        single = [p for p in pieces if self.alone.search(p)]
-        groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        """Encode pieces, a thousand at a time, with a separator whose id is known."""
+        simple = [self.bare is not None and p.strip(" ").isalpha() and (p.isascii() or max(p) < "\u0100") for p in pieces]
+        letters = [p for p, ok in zip(pieces, simple, strict=True) if ok]
+        others = [p for p, ok in zip(pieces, simple, strict=True) if not ok]
+        single = []
+        for at in range(0, len(letters), JOINED):
+            group = letters[at : at + JOINED]
+            text = "\n".join(group)
+            text = (text.lower() if self.lower else text).encode().decode("latin-1").translate(self.table)
+            single += self._keep(group, self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.bare_mark)
+        groups = [others[i : i + JOINED] for i in range(0, len(others), JOINED)]
         for group, ids in zip(groups, self._ids([self.sep.join(g) for g in groups]), strict=True):
-            a = np.asarray(ids, dtype="<u4")
-            cuts = np.flatnonzero(a == self.mark).tolist()
-            if len(cuts) != len(group) - 1:  # the separator's id came up inside a piece
-                single += group
-                continue
-            data = a.tobytes()
-            for p, i, j in zip(group, [0, *[c + 1 for c in cuts]], [*cuts, len(a)], strict=True):
-                self.cache[p] = data[4 * i : 4 * j]
+            single += self._keep(group, ids, self.mark)
         for p, ids in zip(single, self._ids(single), strict=True):
             self.cache[p] = np.asarray(ids, dtype="<u4").tobytes()
 
+    def _keep(self, group: list[str], ids: list[int], mark: int) -> list[str]:
+        """Cache the ids of joined pieces; gives the pieces back if the separator came up inside one."""
+        a = np.asarray(ids, dtype="<u4")
+        cuts = np.flatnonzero(a == mark) * 4
+        if len(cuts) != len(group) - 1:
+            return group
+        data = a.tobytes()
+        self.cache.update(zip(group, map(data.__getitem__, map(slice, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(data)])), strict=True))
+        return []
+
+    def _fill(self, pieces: list[str]) -> None:
+        """Put missing pieces into the cache. A run of letters with marks after it is two pieces of its own."""
+        cache, old = self.cache, self.old
+        new = [p for p in pieces if p not in cache]
+        if old:
+            cache.update([(p, old[p]) for p in new if p in old])
+            new = [p for p in new if p not in old]
+        stems = [p.rstrip(MARKS) for p in new]
+        joined = [(p, q) for p, q in zip(new, stems, strict=True) if len(p) != len(q) and q.strip(" ").isalpha()]
+        plain = [p for p, q in zip(new, stems, strict=True) if len(p) == len(q) or not q.strip(" ").isalpha()]
+        parts = {q for _, q in joined}
+        parts.update(p[len(q) :] for p, q in joined)
+        self._learn(plain + [p for p in parts.difference(plain) if p not in cache])
+        cache.update((p, cache[q] + cache[p[len(q) :]]) for p, q in joined)
+
+    @staticmethod
+    def _has_runs(t: str) -> bool:
+        """As ``RUNS`` finds, by plain searches where the characters allow it."""
+        if "  " in t or " \n" in t or "\n\n" in t or t.endswith("\n ") or any(c in t for c in "\t\r\x0b\x0c\x03\x1c\x1d\x1e\x1f"):
+            return True
+        if t.isascii():
+            return False
+        return "\x85" in t or "\xa0" in t if max(t) < "\u0100" else bool(RUNS.search(t))
+
+    def _kept(self, texts: list[str]) -> pa.ListArray:
+        return pc.split_pattern(pa.array([t.replace(" ", CUT + " ").replace("\n", CUT + "\n" + CUT) for t in texts], pa.string()), CUT)
+
+    def _dropped(self, texts: list[str]) -> pa.ListArray:
+        return pc.utf8_split_whitespace(pa.array([t.lower() if self.lower and self._latin(t) else t for t in texts], pa.string()))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The id bytes of each text; null counts as empty. Misses are learnt for all texts together."""
-        distinct = dict.fromkeys(t or "" for t in texts)
-        split: dict[str, list[str] | None] = {t: None if self.split is None or ODD.search(t) else self.split(t) for t in distinct}
-        need: dict[str, None] = {}
-        for pieces in split.values():
-            if pieces:
-                need.update(dict.fromkeys(pieces))
-        if len(self.cache) + len(need) > self.limit:
-            self.cache.clear()
-        self._learn([p for p in need if p not in self.cache])
-        get = self.cache.__getitem__
-        for t, pieces in split.items():
-            distinct[t] = np.asarray(self._ids([t])[0], dtype="<u4").tobytes() if pieces is None else b"".join(map(get, pieces))
-        return [distinct[t or ""] for t in texts]
+        """The id bytes of each text; null counts as empty.
+
+        Pieces are split and numbered by Arrow, so that Python looks up each distinct piece of the
+        batch once; the ids of all pieces are then gathered together.
+        """
+        done: dict[str, bytes] = {}
+        clean, whole = [], []
+        for t in dict.fromkeys(t or "" for t in texts):
+            (whole if self.split is None or self.whole(t) else clean).append(t)
+        if clean:
+            lists = self.split(clean)
+            coded = lists.flatten().dictionary_encode()
+            pieces = coded.dictionary.to_pylist()
+            if len(self.cache) > self.limit:
+                self.cache, self.old = dict(self.fixed), self.cache
+            self._fill(pieces)
+            parts = list(map(self.cache.__getitem__, pieces))
+            flat = np.frombuffer(b"".join(parts), "<u4")
+            size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+            start = np.cumsum(size) - size
+            code = coded.indices.to_numpy(zero_copy_only=False)
+            n = size[code]
+            ends = np.cumsum(n)
+            ids = flat[np.repeat(start[code] - (ends - n), n) + np.arange(int(n.sum()))]
+            ends = np.concatenate([[0], ends])
+            bounds = ends[np.asarray(lists.offsets) - lists.offsets[0].as_py()]
+            for t, a, b in zip(clean, bounds.tolist(), bounds[1:].tolist(), strict=False):
+                done[t] = ids[a:b].tobytes()
+        for t in whole:
+            done[t] = np.asarray(self._ids([t])[0], dtype="<u4").tobytes()
+        return [done[t or ""] for t in texts]
+
+    @staticmethod
+    def _latin(text: str) -> bool:
+        """Whether lowering can be done up front: these characters lower one by one, alike everywhere."""
+        try:
+            text.encode("latin-1")
+            return True
+        except UnicodeEncodeError:
+            return False
 
 
 _ENCODERS: dict[str, Encoder] = {}
