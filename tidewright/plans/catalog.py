@@ -7,27 +7,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewright.plans import relational
+from tidewright.sources.parquet import register_folder
+
 TABLES = "region nation customer supplier part orders lineitem events".split()
-#: name -> (Spark SQL, DuckDB SQL)
-PAIRS: dict[str, tuple[str, str]] = {
-    "q1_pricing_summary": ("""
-SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, sum(l_extendedprice) AS sum_base_price,
-       sum(l_extendedprice * (1 - l_discount)) AS sum_disc_price, avg(l_quantity) AS avg_qty, count(*) AS count_order
-FROM lineitem WHERE l_shipdate <= DATE '1998-12-01' - INTERVAL '90' DAY
-GROUP BY l_returnflag, l_linestatus""",) * 2,
-}
 
 
 def run_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """Run SQL over the parquet tables of a folder, registered as temporary views."""
-    for t in TABLES:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+    register_folder(spark, sf_dir, TABLES)
     return spark.sql(text)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: functools.partial(run_sql, text=pair[0]) for name, pair in PAIRS.items()}
+    from tidewright.plans import engine
+
+    return {name: functools.partial(run_sql, text=pair[0]) for name, pair in relational.texts().items()} | engine.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: pair[1] for name, pair in PAIRS.items()}
+    from tidewright.plans import engine
+
+    return {name: pair[1] for name, pair in relational.texts().items()} | engine.SQL
