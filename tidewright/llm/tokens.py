@@ -144,7 +144,7 @@ class Encoder:
             return True
         if t.isascii():
             return False
-        return "\x85" in t or "\xa0" in t if max(t) < "\u0100" else bool(RUNS.search(t))
+        return "\x85" in t or "\xa0" in t if Encoder._latin(t) else bool(RUNS.search(t))
 
     def _kept(self, texts: list[str]) -> pa.ListArray:
         return pc.split_pattern(pa.array([t.replace(" ", CUT + " ").replace("\n", CUT + "\n" + CUT) for t in texts], pa.string()), CUT)
