@@ -76,6 +76,19 @@ def test_chains_ties_and_empties(spark, make_docs):
     check(spark, make_docs(rows), rows, width=5)
 
 
+def test_blocks_of_a_crowded_cluster(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK", 16)
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(150):  # edits that leave some under the threshold to the first, and linked to few others
+        text = list(base)
+        for p in rng.choice(150, rng.integers(0, 26), replace=False):
+            text[p] = f"x{rng.integers(30)}"
+        rows.append((i * 7 % 151, " ".join(text)))
+    check(spark, make_docs(rows), rows)
+
+
 def test_edges(spark, make_docs):
     assert M.near_duplicates(make_docs([])).count() == 0
     got = M.near_duplicates(make_docs([(None, "a b c"), (1, "a b c"), (1, "a b c"), (2, "a b c"), (3, None)])).collect()

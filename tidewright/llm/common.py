@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,3 +105,15 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def settle(linked: np.ndarray) -> np.ndarray:
+    """The smallest position that each row of a symmetric matrix reaches."""
+    root = np.arange(len(linked))
+    far = len(root)
+    while True:
+        low = np.minimum(root, np.where(linked, root[None], far).min(axis=1, initial=far))
+        low = low[low]
+        if (low == root).all():
+            return root
+        root = low

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import components, materialize, table
+from tidewright.llm.common import components, materialize, settle, table
 
 #: Projections in a collision count, rows of a cell (about) and rows of a block that one task takes.
 COUNTED, CELL, BLOCK = 32, 200, 1024
@@ -71,18 +71,6 @@ def collisions(x: np.ndarray, y: np.ndarray, width: float) -> np.ndarray:
     return out
 
 
-def settle(linked: np.ndarray) -> np.ndarray:
-    """The smallest position that each row of a symmetric matrix reaches."""
-    root = np.arange(len(linked))
-    far = len(root)
-    while True:
-        low = np.minimum(root, np.where(linked, root[None], far).min(axis=1, initial=far))
-        low = low[low]
-        if (low == root).all():
-            return root
-        root = low
-
-
 def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, seed: int = 5) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row; kept where the row has the smallest id of its component.
 

@@ -7,9 +7,12 @@
    makes equal, estimates similarity; candidates below a margin under the threshold go.
 4. The rest is confirmed on full sets, and confirmed links are joined to components.
 
-Candidates are not all pairs of a band bucket: each class is first tried against one member of its
-buckets, and after components are known only pairs between different components of a bucket remain.
-A bucket that a group of near copies fills is settled by the first step alone.
+Candidates are never listed as all pairs. Each class is tried against the smallest member of each of
+its band buckets; the pairs whose estimate passes join classes to loose clusters, and pairs of one
+bucket that pass between clusters join those too, so every candidate lies inside one cluster. The
+likeliest of these pairs is confirmed for each class, which settles most clusters: what is linked needs
+no second look. In the others, what lies in different components is compared on full sets, block
+against block, and a block pair gives back a spanning forest of its links.
 """
 
 from __future__ import annotations
@@ -22,10 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import components, materialize, release, table
+from tidewright.llm.common import components, materialize, release, settle, table
 
 HASHES, ROWS, BITS = 128, 4, 2
 BANDS = HASHES // ROWS
+#: Documents in a block of an exact comparison.
+BLOCK = 256
 #: Estimated similarity that a candidate needs: 5 standard deviations of the estimate under 0.8.
 MARGIN = 0.21
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
@@ -136,23 +141,82 @@ def likeness(a, b):
     return (1 - differ / HASHES - chance) / (1 - chance)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The (a, b) pairs whose full sets have 100 * intersection >= percent * union.
 
-    Only documents in a pair are shingled again; sets travel once for each pair they are in, and the
-    joins on a frequent id may be split.
+    Sets travel once for each pair they are in; the joins on a frequent id may be split.
     """
-    need = pairs.select(F.explode(F.array("a", "b")).alias("need")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(need, F.col("doc") == F.col("need"), "left_semi")
-    sets = materialize(shingle_sets(texts, "doc", "text", width), "sets")
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    out = materialize(both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b").distinct(), "links")
-    release(sets)
+    return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections, by products of 0/1 matrices over slices of the shared shingles."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    shingle, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.cumsum(count > 1) - 1
+    use = count[at] > 1
+    owner, at = owner[use], shared[at[use]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for lo in range(0, int(at[-1]) + 1 if len(at) else 0, 4096):
+        a, b = np.searchsorted(at, [lo, lo + 4096])
+        m = np.zeros((len(sets), 4096), np.float32)
+        m[owner[a:b], at[a:b] - lo] = 1
+        out += m @ m.T
     return out
 
 
+def compare_blocks(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) inside clusters, as spanning forests, from (id, cluster, root, shingles) rows.
+
+    Members of a cluster's largest component need no comparison among themselves; all others are compared
+    with everything. Both kinds are dealt into blocks of about 256, and a task takes two blocks. Small
+    clusters are whole, several to a task.
+    """
+    size = members.groupBy("cluster", "root").agg(F.count("*").alias("k")).groupBy("cluster").agg(
+        F.sum("k").alias("n"), F.max("k").alias("settled"), F.max_by("root", F.struct("k", "root")).alias("main"))
+    total = members.count()
+    m = members.join(size, "cluster")
+    small = F.col("n") <= BLOCK
+    zero = F.col("root") == F.col("main")
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+    n0, n1 = blocks(F.col("settled")), blocks(F.col("n") - F.col("settled"))
+    own = F.when(zero, -1 - F.pmod(F.xxhash64("id"), n0)).otherwise(F.pmod(F.xxhash64("id"), n1)).cast("int")
+    m = m.withColumn("own", F.when(small, 0).otherwise(own))
+    others = F.sequence(F.lit(0), n1 - 1)
+    tasks = F.when(small, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).when(
+        zero, F.transform(others, lambda k: F.struct(F.col("own").alias("i"), k.alias("j")))).otherwise(F.concat(
+            F.transform(others, lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j"))),
+            F.transform(F.sequence(-n0, F.lit(-1)), lambda k: F.struct(k.cast("int").alias("i"), F.col("own").alias("j")))))
+    bin_ = F.when(small, F.pmod(F.xxhash64("cluster"), F.lit(max(1, total // (4 * BLOCK))))).otherwise(F.col("cluster"))
+    m = m.select("id", "cluster", "root", "shingles", "own", small.alias("small"), bin_.alias("bin"), F.explode(tasks).alias("t"))
+
+    def compare(key: tuple, group: pa.Table) -> pa.Table:
+        ids, cluster, root = (group[c].to_numpy() for c in ("id", "cluster", "root"))
+        sets = [np.asarray(x.values) for c in group["shingles"].chunks for x in c]
+        found_a, found_b = [], []
+        for c in np.unique(cluster):
+            at = np.flatnonzero(cluster == c)
+            at = at[np.argsort(ids[at], kind="stable")]
+            if len(at) < 2 or (root[at] == root[at[0]]).all():
+                continue
+            common = overlaps([sets[k] for k in at])
+            n = np.array([len(sets[k]) for k in at], np.float64)
+            linked = (100 * common >= percent * (n[:, None] + n[None] - common)) & (root[at][:, None] != root[at][None])
+            top = settle(linked)
+            child = np.flatnonzero(top != np.arange(len(at)))
+            found_a.append(ids[at[child]])
+            found_b.append(ids[at[top[child]]])
+        none = np.zeros(0, np.int64)
+        return pa.table({"a": np.concatenate([none, *found_a]), "b": np.concatenate([none, *found_b])})
+
+    return m.select("id", "cluster", "root", "shingles", "small", "bin", F.col("t.i").alias("i"), F.col("t.j").alias("j")).groupBy("small", "bin", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row; kept where the row has the smallest id of its component.
 
@@ -170,30 +234,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cells = classes.select("rep", F.explode("bands").alias("cell"))
     shared = cells.groupBy("cell").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first <> last")
     cells = materialize(cells.join(shared.select("cell", "first"), "cell"), "cells")  # only cells of two classes and more
-    a_sig = classes.select(F.col("rep").alias("a"), F.col("signature").alias("s"))
-    b_sig = classes.select(F.col("rep").alias("b"), F.col("signature").alias("t"))
+    signatures = classes.select("rep", "signature")
+    a_sig, b_sig = signatures.toDF("a", "s"), signatures.toDF("b", "t")
     least = percent / 100 - MARGIN
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        return pairs.join(a_sig, "a").join(b_sig, "b").withColumn("like", likeness(F.col("s"), F.col("t"))).where(F.col("like") >= least)
-
-    # first every class with the likeliest of its cells' smallest members
-    stars = likely(cells.where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct())
-    stars = materialize(stars.groupBy("a").agg(F.max_by("b", F.struct("like", -F.col("b"))).alias("b")), "stars")
-    links = confirm(stars, docs, id_col, text_col, width, percent)
+    stars = cells.where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()
+    stars = stars.join(a_sig, "a").join(b_sig, "b").withColumn("like", likeness(F.col("s"), F.col("t"))).where(F.col("like") >= least)
+    stars = materialize(stars.select("a", "b", "like"), "stars")
+
+    # loose clusters: every candidate that passes the estimate ends up inside one
+    clusters = components(stars)
+    known = cells.join(clusters.toDF("rep", "cluster"), "rep", "left").withColumn("cluster", F.coalesce("cluster", "rep"))
+    mixed = known.groupBy("cell").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo <> hi").select("cell")
+    open_cells = materialize(known.join(mixed, "cell").join(signatures, "rep").select("cell", "rep", "cluster", "signature"), "open")
+    x = open_cells.toDF("cell", "a", "ca", "s")
+    y = open_cells.toDF("cell", "b", "cb", "t")
+    across = x.join(y, (x["cell"] == y["cell"]) & (F.col("ca") < F.col("cb")) & (likeness(F.col("s"), F.col("t")) >= least))
+    across = materialize(across.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "across")
+    if not across.isEmpty():
+        lone = across.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        over = components(across).toDF("cluster", "top")
+        clusters = clusters.unionByName(lone.join(clusters, "node", "left_anti").withColumn("root", F.col("node")))
+        clusters = materialize(clusters.withColumnRenamed("root", "cluster").join(over, "cluster", "left").select("node", F.coalesce("top", "cluster").alias("root")), "clusters")
+
+    # full sets of what lies in clusters, and of nothing else
+    need = clusters.select(F.col("node").alias("need"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(need, F.col("doc") == F.col("need"), "left_semi")
+    sets = materialize(shingle_sets(texts, "doc", "text", width), "sets")
+    best = stars.groupBy("a").agg(F.max_by("b", F.struct("like", -F.col("b"))).alias("b"))
+    links = materialize(confirm(best, sets, percent), "links")
     roots = components(links)
-    # then whatever in a shared cell lies in different components
-    known = cells.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    mixed = known.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("cell")
-    open_cells = materialize(known.join(mixed, "cell").join(classes.select("rep", "signature"), "rep").select("cell", "rep", "root", "signature"), "open")
-    x = open_cells.select("cell", F.col("rep").alias("a"), F.col("root").alias("ra"), F.col("signature").alias("s"))
-    y = open_cells.select("cell", F.col("rep").alias("b"), F.col("root").alias("rb"), F.col("signature").alias("t"))
-    rest = x.join(y, (x["cell"] == y["cell"]) & (F.col("ra") != F.col("rb")) & (F.col("a") > F.col("b")) & (likeness(F.col("s"), F.col("t")) >= least))
-    rest = materialize(rest.select("a", "b").distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = confirm(rest, docs, id_col, text_col, width, percent)
-        if not more.isEmpty():
-            roots = components(links.unionByName(more))
+    members = clusters.toDF("id", "cluster").join(roots.toDF("id", "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    unsettled = members.groupBy("cluster").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("cluster")
+    members = materialize(members.join(unsettled, "cluster").join(sets, "id").select("id", "cluster", "root", "shingles"), "members")
+    more = materialize(compare_blocks(members, percent), "more")
+    if not more.isEmpty():
+        roots = components(links.unionByName(more))
+    release(sets)
+    release(members)
     found = classes.select("set_key", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("set_key").alias("k"), F.coalesce("root", "rep").alias("root"))
     out = rows.select("doc_id", "n_shingles", "set_key").join(found, F.col("set_key") == F.col("k"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
