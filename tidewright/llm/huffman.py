@@ -193,7 +193,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
         return _batches(rows(), plain, lambda r: len(r[5]))
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) // PART)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // PART))
     d = d.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
     blocks = materialize(d.mapInArrow(tokenise, "part int, block long, before long, docs array<long>, counts array<long>, ids binary"), "ids")
 
