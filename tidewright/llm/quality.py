@@ -9,8 +9,7 @@ shrinks towards the corpus, a path towards its host, by a strength that the spre
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -74,40 +73,41 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
 class Model:
     """Logistic regression over shape measures and the presence of telling features; 0 without both classes."""
 
-    def __init__(self, rows: list[tuple[list[float], set[bytes]]], labels: list[int]):
+    def __init__(self, shapes: list[list[float]], found: list[np.ndarray], labels: list[int], names: list[bytes]):
+        """found: the numbers of each document's features, into ``names``."""
         y, n = np.array(labels, dtype=np.float64), len(labels)
         self.tells: list[bytes] = []
         self.mean, self.spread, self.weights = np.zeros(N_SHAPE), np.ones(N_SHAPE), np.zeros(N_SHAPE + 1)
         if n and 0 < y.sum() < n:
-            self.tells = self._pick(rows, y)
-            shape = np.array([r[0] for r in rows])
+            picked = self._pick(found, y, names)
+            self.tells = [names[k] for k in picked]
+            shape = np.array(shapes)
             self.mean, self.spread = shape.mean(0), shape.std(0) + 1e-3
-            index = {w: i for i, w in enumerate(self.tells)}
-            x = np.zeros((n, N_SHAPE + len(index) + 1))
+            column = np.full(len(names), -1)
+            column[picked] = np.arange(len(picked))
+            x = np.zeros((n, N_SHAPE + len(picked) + 1))
             x[:, :N_SHAPE], x[:, -1] = (shape - self.mean) / self.spread, 1
-            for i, (_, ws) in enumerate(rows):
-                for w in ws & index.keys():
-                    x[i, N_SHAPE + index[w]] = 1
+            for i, f in enumerate(found):
+                at = column[f]
+                x[i, N_SHAPE + at[at >= 0]] = 1
             self.weights = logistic(x, y)
         self.of = dict(zip(self.tells, self.weights[N_SHAPE:-1].tolist(), strict=True))
         self.whole = {w for w in self.of if not w.endswith(b"*")}
         self.starts = {k: {w[:-1] for w in self.of if w.endswith(b"*") and len(w) == k + 1} for k in BEGINNINGS}
 
     @staticmethod
-    def _pick(rows: list, y: np.ndarray) -> list[bytes]:
-        """The features with most mutual information with the label."""
-        seen, good, n, pos = Counter(), Counter(), len(y), y.sum()
-        for (_, ws), g in zip(rows, y, strict=True):
-            seen.update(ws)
-            if g:
-                good.update(ws)
-
-        def gain(w: bytes) -> float:
-            a, b = good[w], seen[w] - good[w]
-            parts = ((a, seen[w], pos), (b, seen[w], n - pos), (pos - a, n - seen[w], pos), (n - pos - b, n - seen[w], n - pos))
-            return sum(k / n * np.log(k * n / (have * of)) for k, have, of in parts if k > 0)
-
-        return sorted((w for w, k in seen.items() if SUPPORT <= k <= n - SUPPORT), key=lambda w: (-gain(w), w))[:WORDS]
+    def _pick(found: list[np.ndarray], y: np.ndarray, names: list[bytes]) -> list[int]:
+        """The features with most mutual information with the label, ties by name."""
+        n, pos = len(y), y.sum()
+        flat = np.concatenate(found)
+        owner = np.repeat(y, [len(f) for f in found])
+        seen, good = np.bincount(flat, minlength=len(names)).astype(float), np.bincount(flat, owner, len(names))
+        gain = np.zeros(len(names))
+        for k, have, of in ((good, seen, pos), (seen - good, seen, n - pos), (pos - good, n - seen, pos), (n - pos - seen + good, n - seen, n - pos)):
+            some = k > 0
+            gain[some] += k[some] / n * np.log(k[some] * n / (have[some] * of))
+        enough = np.flatnonzero((seen >= SUPPORT) & (seen <= n - SUPPORT))
+        return sorted(enough.tolist(), key=lambda k: (-gain[k], names[k]))[:WORDS]
 
     def logit(self, shape: list[float], words: set[bytes], starts: dict[int, set[bytes]]) -> float:
         z = float((np.array(shape) - self.mean) / self.spread @ self.weights[:N_SHAPE]) + self.weights[-1]
@@ -122,12 +122,16 @@ class Model:
 class Classifier:
     """Evidence for a good document: a model of quality and one of toxicity, taken as independent."""
 
-    def __init__(self, rows: list[tuple[list[float], set[bytes], int, int]]):
-        """rows: (shape, words, quality, toxic); equal ones count once."""
-        once = list({(tuple(r[0]), frozenset(r[1])): r for r in rows}.values())
-        known = [(r[0], features(r[1])) for r in once]
-        self.quality = Model(known, [r[2] for r in once])
-        self.toxic = Model(known, [r[3] for r in once])
+    def __init__(self, rows: Iterable[tuple[list[float], set[bytes], int, int]]):
+        """rows: (shape, words, quality, toxic), taken one by one; equal ones count once. Features are kept as numbers."""
+        number: dict[bytes, int] = {}
+        once: dict[tuple, tuple] = {}
+        for shape, words, good, bad in rows:
+            found = np.sort(np.fromiter((number.setdefault(f, len(number)) for f in features(words)), np.int32))
+            once[(tuple(shape), found.tobytes())] = (shape, found, good, bad)
+        shapes, found, good, bad = (list(x) for x in zip(*once.values(), strict=True)) if once else ([], [], [], [])
+        names = list(number)
+        self.quality, self.toxic = Model(shapes, found, good, names), Model(shapes, found, bad, names)
 
     def evidence(self, texts: list[str | None]) -> np.ndarray:
         """Log-likelihood ratios of good against not; the models are fitted with even classes, so a logit is one."""
@@ -147,7 +151,7 @@ class Classifier:
         return np.clip(np.log(good / (1 - good)), -12, 12)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, size: int = SAMPLE) -> list[tuple[list[float], set[bytes], int, int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, size: int = SAMPLE) -> Iterator[tuple[list[float], set[bytes], int, int]]:
     """Measures of at most ``size`` labelled documents, made where their texts are.
 
     Labels come down to ids by one ordered take, so the joined side has ``size`` rows at most and
@@ -162,7 +166,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
             got = [measure(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([g[0] for g in got], pa.list_(pa.float64())), pa.array([b"\n".join(sorted(g[1])) for g in got], pa.binary())], names=["quality", "toxic", "shape", "words"])
 
-    return [(list(r["shape"]), set(bytes(r["words"]).split(b"\n")), r["quality"], r["toxic"]) for r in rows.mapInArrow(shapes, "quality int, toxic int, shape array<double>, words binary").toLocalIterator()]
+    found = rows.mapInArrow(shapes, "quality int, toxic int, shape array<double>, words binary")
+    return ((list(r["shape"]), set(bytes(r["words"]).split(b"\n")), r["quality"], r["toxic"]) for r in found.toLocalIterator())
 
 
 def score(docs: DataFrame, model: Classifier, id_col: str, text_col: str, host_col: str, path_cols: tuple) -> DataFrame:
