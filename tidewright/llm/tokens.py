@@ -39,7 +39,7 @@ class Encoder:
     becomes the old one, from which pieces still in use move on; the old one before it is dropped.
     """
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -205,7 +205,7 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def chunks(texts: list, size: int = 1 << 22) -> list[tuple[int, int]]:
+def chunks(texts: list, size: int = 3 << 20) -> list[tuple[int, int]]:
     """Ranges of a batch whose texts add up to about ``size`` characters, so that ids stay small in memory."""
     out, a, n = [], 0, 0
     for i, t in enumerate(texts):
