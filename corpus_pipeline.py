@@ -42,10 +42,9 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, twice where it takes them twice."""
-    mixed = mix_sources(docs).where("taken > 0").groupBy("doc_id").agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("copies"))
-    repeated = docs.join(mixed, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return repeated.select(COLUMNS)
+    """Rows that the mix takes, each as often as it takes that row; null and repeated ids are rows like all others."""
+    mixed = mix_sources(docs, carry=("text", "lang", "n_chars")).where("taken > 0")
+    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int")))).select(COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,12 +1,14 @@
 """Each stage of the pipeline against plain Python on its own input."""
 
+from collections import Counter
+
 import numpy as np
 import public_tokenizers as P
 import pytest
 
 import corpus_pipeline as C
 from tests.llm.test_minhash import brute
-from tidewright.llm import quality, secrets
+from tidewright.llm import mixing, quality, secrets
 from tidewright.llm.tokens import Encoder
 
 SF = "/root/testdata/sf0.001"
@@ -60,6 +62,24 @@ def test_mixing(outputs):
     assert abs(sum(words[i] * k for i, k in copies.items()) - 1.5 * total) <= most
 
 
+def test_mixing_null_and_repeated_ids(spark, make_docs):
+    rng = np.random.default_rng(3)
+    ids = [None] * 60 + [7] * 100 + [*range(100, 240)]
+    rows = [(i, " ".join([f"r{n}", *["w"] * int(rng.integers(0, 60))]), "ab"[n % 2]) for n, i in enumerate(ids)]
+    rows += [(7, "same row twice", "a")] * 2 + [(None, None, "a"), (8, "", "b")]
+    docs = make_docs(rows).select(C.COLUMNS)
+    got = C.mixing(spark, docs.repartition(5), SF)
+    assert got.columns == C.COLUMNS
+    out = [(r.doc_id, r.text, r.source) for r in got.collect()]
+    words, copies = (lambda t: len((t or "").split())), Counter(out)
+    assert set(out) <= set(rows) and all(k <= 2 * rows.count(r) for r, k in copies.items())
+    mixed = mixing.mix_sources(docs).collect()
+    assert Counter((i, words(t), s) for i, t, s in out) == sum((Counter({(r.doc_id, r.size, r.source): r.taken // r.size}) for r in mixed if r.taken), Counter())
+    total, most = sum(words(t) for _, t, _ in rows), max(words(t) for _, t, _ in rows)
+    assert 1.5 * total - most <= sum(words(t) for _, t, _ in out) <= 1.5 * total
+    assert any(i is None for i, _, _ in out) and sorted(out, key=str) == sorted(((r.doc_id, r.text, r.source) for r in C.mixing(spark, docs, SF).collect()), key=str)
+
+
 def test_packing(outputs):
     before, after, _ = outputs[4]
     enc = Encoder(P.path("word_bpe_49k.json"))

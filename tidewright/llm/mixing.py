@@ -45,12 +45,13 @@ def targets(sizes: DataFrame, weights: tuple, budget: float, repeats: int) -> Da
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-                weights: tuple = WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS, seed: str = "") -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) per row; taken counts repeats.
+                weights: tuple = WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS, seed: str = "", carry: tuple = ()) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken) per row, plus the columns in ``carry``; taken counts repeats.
 
     ``weights`` go to the sources by code point, null last, repeating. A null text has no words; an
     empty document takes none. Null ids are shuffled as an empty string. Equal rows are queued one
-    after the other. Other columns are ignored; an empty table gives no rows.
+    after the other. Other columns are ignored; an empty table gives no rows. Carried columns decide
+    between rows of one id and size; they wait beside the queue and join it by a row number.
 
     The running sum of a source, however large, is taken in slices: sums per (source, slice) give
     each slice its start, and a window runs inside one slice only. The cut in the global order is
@@ -58,7 +59,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("key")
-    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key), "mix")
+    number = [F.monotonically_increasing_id().alias("row"), F.xxhash64(*carry).alias("tie"), F.struct(*carry).alias("carried")] if carry else []
+    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key, *number), "mix")
+    carried, rows = rows, rows.drop("carried")
     n = rows.count()
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     t = materialize(targets(sizes, weights, budget, repeats), "targets")
@@ -70,9 +73,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sums = rows.groupBy("rank", "slice").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("rank").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("rank", "slice", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("rank", "slice").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("rank", "slice").orderBy("key", "doc_id", "size", *["tie", "row"][: len(number)]).rowsBetween(Window.unboundedPreceding, 0)
     q = rows.join(starts, ["rank", "slice"]).withColumn("cum", F.col("start") + F.sum("size").over(inside))
-    q = materialize(q.select("doc_id", "source", "size", "source_size", "target", "rank", "key", "cum"), "queue")
+    q = materialize(q.select("doc_id", "source", "size", "source_size", "target", "rank", "key", "cum", *["row"][: len(number)]), "queue")
 
     finish = lambda e: (F.col("cum") + F.lit(e) * F.col("source_size")).cast("double") / F.col("target")
     place = lambda e: F.struct(finish(e).alias("finish"), F.lit(e).alias("copy"), "rank", "key", "cum", F.coalesce("doc_id", F.lit(-1)).alias("doc"))
@@ -106,7 +109,11 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         cut = F.struct(*[F.lit(edge[k]).cast(copies.schema[k].dataType).alias(k) for k in ("finish", "copy", "rank", "key", "cum", "doc")])
         fits = lambda e: place(e) <= cut
     taken = sum((F.when(fits(e), F.col("size")).otherwise(0) for e in range(repeats)), F.lit(0).cast("long"))
-    return q.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("target") > 0, taken).otherwise(F.lit(0)).cast("long").alias("taken"))
+    names = ["doc_id", "source", "size", "source_size", "target", "taken"]
+    out = q.withColumn("taken", F.when(F.col("target") > 0, taken).otherwise(F.lit(0)).cast("long"))
+    if not carry:
+        return out.select(names)
+    return out.select("row", *names).join(carried.select("row", "carried"), "row").select(*names, *[F.col("carried")[c].alias(c) for c in carry])
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
