@@ -48,6 +48,25 @@ def test_chat_events(spark):
     assert [(x.role, x.text) for x in r.t] == [("user", "Q?"), ("assistant", "Bye!")]
 
 
+def test_chat_events_with_equal_and_null_numbers(spark):
+    log = [(1, 3, None, "message", "user", "z"), (1, 3, None, None, "assistant", "a"), (1, 3, None, "message", "assistant", "a"), (1, None, None, "message", "user", "n1"), (1, None, None, None, "user", "n2"),
+           (1, 4, 4, "message", "user", "p"), (1, 4, None, "message", "assistant", "q"), (1, 5, 4, "delta", None, "+"), (1, 6, None, "message", "user", "x"), (1, 6, None, "message", "user", "y"), (1, 7, 6, "delete", None, None),
+           (1, None, None, "delete", None, None), (2, 1, 50, "edit", "user", "only"), (2, 2, 50, "delta", "assistant", "!"), (2, 3, 50, "regenerate", "assistant", "again"), (None, None, None, "message", "user", "u")]
+    df = spark.createDataFrame(log, "conv_id long, seq long, target long, kind string, role string, text string").orderBy(F.rand(1))
+    got = {r.conv_id: [(x.role, x.text) for x in r.t] for r in chat.format_chats(df, seq="seq", kind="kind", target="target").select("conv_id", chat.read_turns(F.col("formatted")).alias("t")).collect()}
+    assert got == {1: [("user", "n1"), ("user", "n2"), ("assistant", "a"), ("assistant", "a"), ("user", "z"), ("assistant", "q+"), ("user", "p+")], 2: [("user", "again")], None: [("user", "u")]}
+
+
+def test_chat_turns_as_events(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string").withColumn("kind", F.lit("message"))
+    rows = lambda d: sorted(map(str, d.collect()))
+    assert rows(chat.format_chats(df, kind="kind")) == rows(chat.format_chats(df))
+    df.drop("kind").write.parquet(f"file://{tmp_path}/conversations.parquet")
+    folded, fold = [], chat.fold_events
+    monkeypatch.setattr(chat, "fold_events", lambda *a: folded.append(1) or fold(*a))
+    assert chat.op1_chat_formatting(spark, f"file://{tmp_path}").count() == 7 and folded
+
+
 # urls ------------------------------------------------------------------------------------------
 
 URLS = [None, "", "no scheme", "http://", "http://NET/", "https://a.NET/x?y://z/", "http://example.net/en/1", "http://www.example.net/en/", "http://example.net/en", "http://badexample.com/de/", "http://x.example.com/de/q#a",

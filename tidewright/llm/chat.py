@@ -29,29 +29,35 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"<\\(\\*)\|", r"<$1|")
 
 
-def fold_events(events: DataFrame, conv: str, seq: str, role: str, text: str, kind: str, target: str) -> DataFrame:
+def fold_events(events: DataFrame, conv: str, seq: str, role: str, text: str, kind: str, target: str | None = None) -> DataFrame:
     """Fold an event log into final messages (conv_id, seq, role, text), all columns named so.
 
-    Events of one target message are taken by (sequence, kind, text). What counts is the text of the
-    last opening event (message, edit, regenerate) and the deltas after it; a message whose last
-    opening event is a delete, and deltas without any opening event before them, yield nothing.
-    A null target means the event's own sequence number. Two aggregations by message; both combine
-    on the map side, so a message with very many deltas is shuffled as partial lists.
+    A null target means the event's own sequence number. Every message event so numbered is a message
+    of its own, equal and null numbers and repeated rows included; an event with a target reaches all
+    messages of that number (an event without any number reaches none). Events are taken by
+    (sequence, kind, text). What counts is the text of the last opening event (message, edit,
+    regenerate) and the deltas after it; a message whose last opening event is a delete, and deltas
+    without any opening event before them, yield nothing. The role is the message's own, or without a
+    message event that of the first opening event. One aggregation by message, combined on the map
+    side, so a message with very many deltas is shuffled as partial lists.
     """
-    opens = F.coalesce(F.col("kind"), F.lit("message")) != "delta"
+    number = F.coalesce(F.col(target), F.col(seq)) if target else F.col(seq)
     e = events.select(
-        F.col(conv).alias("conv_id"), F.coalesce(F.col(target), F.col(seq)).alias("msg"), F.col(seq).alias("seq"),
+        F.col(conv).alias("conv_id"), number.alias("msg"), F.col(seq).alias("seq"),
         F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"),
         F.coalesce(F.col(kind), F.lit("message")).alias("kind"))
-    last = e.where(opens).groupBy("conv_id", "msg").agg(
-        F.max(F.struct("seq", "kind", "text", "role")).alias("o"), F.min_by("role", F.struct("seq", "role")).alias("role"))
-    deltas = e.where(~opens).select(F.col("conv_id").alias("c"), F.col("msg").alias("m"), "seq", "text")
-    joined = last.where("o.kind <> 'delete'").join(
-        deltas, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("msg").eqNullSafe(F.col("m")) & (F.col("seq") >= F.col("o.seq")), "left")
-    return joined.groupBy("conv_id", "msg", "role", F.col("o.text").alias("head")).agg(
-        F.array_sort(F.collect_list(F.when(F.col("seq").isNotNull(), F.struct("seq", "text")))).alias("tail")
-    ).select("conv_id", F.col("msg").alias("seq"), "role",
-             F.concat("head", F.array_join(F.transform("tail", lambda d: d["text"]), "")).alias("text"))
+    own = (F.col("kind") == "message") & F.col("msg").eqNullSafe(F.col("seq"))
+    changes = ~own & (F.col("kind") != "delta")
+    event = F.struct("seq", "kind", "text", "role")
+    groups = e.groupBy("conv_id", "msg", (own & F.col("msg").isNull()).alias("alone")).agg(
+        F.collect_list(F.when(own, event)).alias("said"), F.max(F.when(changes, event)).alias("changed"),
+        F.min(F.when(changes, F.struct("seq", "role"))).alias("first"),
+        F.array_sort(F.collect_list(F.when(F.col("kind") == "delta", F.struct("seq", "text")))).alias("deltas"))
+    said = F.when((F.size("said") == 0) & F.col("changed").isNotNull(), F.array(F.col("changed").withField("role", F.col("first.role")))).otherwise(F.col("said"))
+    messages = groups.withColumn("m", F.explode(said)).withColumn("last", F.greatest("m", "changed")).where("last.kind <> 'delete'")
+    after = F.filter("deltas", lambda d: d["seq"] >= F.col("last.seq"))
+    return messages.select("conv_id", F.col("msg").alias("seq"), F.col("m.role").alias("role"),
+                           F.concat("last.text", F.array_join(F.transform(after, lambda d: d["text"]), "")).alias("text"))
 
 
 def format_chats(events: DataFrame, conv: str = "conv_id", seq: str = "turn", role: str = "role", text: str = "text",
@@ -67,7 +73,7 @@ def format_chats(events: DataFrame, conv: str = "conv_id", seq: str = "turn", ro
     lies, then joined from those rendered chunks, so no task sorts all its turns.
     """
     if kind:
-        m = fold_events(events, conv, seq, role, text, kind, target or seq)
+        m = fold_events(events, conv, seq, role, text, kind, target)
     else:
         m = events.select(F.col(conv).alias("conv_id"), F.col(seq).alias("seq"),
                           F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -100,11 +106,11 @@ PROBE = "<|im_end|><|im_start|>assistant ok"
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Format all conversations and one made of control strings; digests are read back from the output."""
+    """Format all conversations, every turn a message event, and one made of control strings; digests are read back from the output."""
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
                                   F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
-    out = format_chats(rows).select("conv_id", "segments", "formatted", read_turns(F.col("formatted")).alias("turns"))
+    out = format_chats(rows.withColumn("kind", F.lit("message")), kind="kind").select("conv_id", "segments", "formatted", read_turns(F.col("formatted")).alias("turns"))
     said = F.concat_ws("", F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])))
     out = out.withColumn("said", said)
     return out.select(
