@@ -60,3 +60,14 @@ def test_query_rows(spark, make_docs, tmp_path):
 def test_redact():
     f = S.Scanner(S.default_model()).scan(["a password=" + "0f" * 12 + " b token=abcdefg"])[0]
     assert S.redact("a password=" + "0f" * 12 + " b token=abcdefg", f) == "a [secret] b [secret]"
+
+
+def test_keys_without_digits_are_scanned():
+    rng = np.random.default_rng(4)
+    letters = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    keys = ["".join(rng.choice(letters, 16 + i % 20)) for i in range(300)]
+    assert all(S.candidates(f"my bearer = {k} and more") == [(12, 12 + len(k))] for k in [*keys, "1" * 16, "-" * 20])
+    scan = S.Scanner(S.default_model()).scan([f"my bearer = {k} and more" for k in keys])
+    assert sum(bool(f) for f in scan) >= 0.95 * len(keys)
+    plain = ["the Geschwindigkeitsbegrenzung here", "an internationalization of it", "a ---------------------------- rule", "call getDefaultValueFromParent now"]
+    assert not any(S.Scanner(S.default_model()).scan(plain))

@@ -47,11 +47,10 @@ def base_findings(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Runs of 16 and more key characters that have a letter and a digit."""
-    if all(len(w) < 16 or w.isalpha() for w in text.split()):
+    """Runs of 16 and more key characters, whatever they are made of."""
+    if all(len(w) < 16 for w in text.split()):
         return []
-    found = ((m.start(), m.end(), m.group()) for m in CANDIDATE.finditer(text))
-    return [(a, b) for a, b, w in found if any(c.isdigit() for c in w) and any(c.isalpha() for c in w)]
+    return [m.span() for m in CANDIDATE.finditer(text)]
 
 
 def windows(text: str, start: int, end: int) -> list[np.ndarray]:
@@ -134,8 +133,8 @@ class CharConv:
         return 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -30, 30)))
 
 
-def labelled_findings(n: int = 1600, seed: int = 11) -> list[tuple[str, int, int, int]]:
-    """(text, start, end, label): made-up keys in contexts that give them away, and look-alikes in prose."""
+def labelled_findings(n: int = 1600, seed: int = 11, runs: bool = False) -> list[tuple[str, int, int, int]]:
+    """(text, start, end, label): made-up keys in contexts that give them away, and look-alikes in prose; with ``runs``, of letters or digits alone."""
     rng = np.random.default_rng(seed)
     pick = lambda chars, k: "".join(rng.choice(list(chars), k))
     lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
@@ -147,8 +146,11 @@ def labelled_findings(n: int = 1600, seed: int = 11) -> list[tuple[str, int, int
     secrets = [lambda: pick(lower + upper + digits, size()), lambda: pick(lower + upper + digits + "+/", size()) + "=", lambda: pick("0123456789abcdef", size()),
                lambda: "AKIA" + pick(upper + digits, 16), lambda: pick(lower, 3) + "_" + pick(lower + upper + digits, size())]
     plain = [lambda: "-".join(word() for _ in range(4)) + pick(digits, 2), lambda: "/".join([word(), word(), word(), pick(digits, 4)]), lambda: pick(lower, 14) + pick(digits, 3),
-             lambda: f"{pick(digits, 4)}-{pick(digits, 2)}-{pick(digits, 2)}T{pick(digits, 6)}Z", lambda: word() + "_" + word() + "_" + word() + "_v" + pick(digits, 1),
-             lambda: pick(digits, 16) + pick(lower, 1), lambda: "=" * 15 + pick(digits, 1) + word(), lambda: "-".join(word() for _ in range(3)) + "-" + pick(digits, 6)]
+             lambda: f"{pick(digits, 4)}-{pick(digits, 2)}-{pick(digits, 2)}T{pick(digits, 6)}Z", lambda: word() + "_" + word() + "_" + word() + "_v" + pick(digits, 1), lambda: pick(digits, 16) + pick(lower, 1), lambda: "=" * 15 + pick(digits, 1) + word(), lambda: "-".join(word() for _ in range(3)) + "-" + pick(digits, 6)]
+    if runs:
+        secrets = [lambda: pick(lower + upper, size())]
+        plain = [lambda: pick(lower, size()), lambda: pick(upper, 1) + pick(lower, size()), lambda: word() + "".join(word().title() for _ in range(4)), lambda: str(rng.choice(list("-=_"))) * size(),
+                 lambda: "_".join(word() for _ in range(5)), lambda: "/".join(word() for _ in range(5)), lambda: "-".join(word() for _ in range(5)), lambda: pick(digits, size()), lambda: pick(upper, size())]
     out = []
     for i in range(n):
         label = i % 2
@@ -164,17 +166,24 @@ def labelled_findings(n: int = 1600, seed: int = 11) -> list[tuple[str, int, int
 
 @functools.lru_cache(maxsize=4)
 def default_model(recall: float = 0.98) -> CharConv:
-    return train(labelled_findings(), recall)
+    return train(labelled_findings() + labelled_findings(runs=True), recall)
 
 
 def train(findings: list[tuple[str, int, int, int]], recall: float = 0.98, seed: int = 7) -> CharConv:
-    """Fit on three quarters of the findings; every fourth one is held out for scaling and threshold."""
-    x = np.stack([windows(t, a, b)[0] for t, a, b, _ in findings])
+    """Fit on three quarters of the findings; every fourth one is held out for scaling and threshold.
+
+    A finding is shown as a scan would show it: by all windows of the candidates that meet its span (in
+    training also by those of the span itself, as base findings are scored). A held-out one
+    that no candidate meets counts as missed.
+    """
+    seen = [[w for a, b in candidates(t) if a < end and start < b for w in windows(t, a, b)] for t, start, end, _ in findings]
     y = np.array([f[3] for f in findings], dtype=np.float32)
-    held = np.arange(len(x)) // 2 % 4 == 0
+    held = np.arange(len(y)) // 2 % 4 == 0
+    shown = [(w, label) for ws, f, label, h in zip(seen, findings, y, held, strict=True) if not h for w in ws + windows(*f[:3])]
     model = CharConv(seed)
-    model.fit(x[~held], y[~held], seed=seed)
-    model.calibrate(model.logits(x[held]), y[held], recall)
+    model.fit(np.stack([w for w, _ in shown]), np.array([label for _, label in shown], dtype=np.float32), seed=seed)
+    z = np.array([model.logits(np.stack(ws)).max() if ws else -30.0 for ws, h in zip(seen, held, strict=True) if h])
+    model.calibrate(z, y[held], recall)
     return model
 
 
