@@ -17,6 +17,14 @@ def test_cells():
     assert not C.cells_equal(Decimal("1.10"), Decimal("1.11")) and not C.cells_equal(True, 1) and C.cells_equal(float("nan"), float("nan"))
 
 
+def test_multisets_of_other_number_types():
+    for n in (5, 65, 300):
+        a = [(i, 2 * i, None) for i in range(n)]
+        for b in ([(i, Decimal(2 * i), None) for i in range(n)], [(i, 2.0 * i, None) for i in range(n)]):
+            assert C.multiset_equal(a, b) and C.multiset_contains(b, a) and not C.multiset_equal(a, [*b[1:], (0, 1, None)])
+    assert not C.multiset_equal([(True,)], [(1,)]) and not C.multiset_equal([(True,), (1.0,)], [(1,), (1.0,)])
+
+
 def test_multisets():
     assert C.multiset_equal([(1, 0.1), (1, 0.2)], [(1, 0.2 + 1e-9), (1, 0.1)])
     assert not C.multiset_equal([(1,), (1,), (2,)], [(1,), (2,), (2,)])

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -37,9 +38,15 @@ def rows_equal(a: tuple, b: tuple, tolerance: float = TOLERANCE) -> bool:
     return len(a) == len(b) and all(cells_equal(x, y, tolerance) for x, y in zip(a, b, strict=True))
 
 
-def _split(row: tuple) -> tuple[tuple, tuple]:
-    exact = tuple(("f",) if isinstance(v, float) else (type(v).__name__, v) for v in row)
-    return exact, tuple(v for v in row if isinstance(v, float))
+def _float_columns(*tables: list[tuple]) -> set[int]:
+    """Columns that hold a float in any row of any table."""
+    return {i for rows in tables for r in rows for i, v in enumerate(r) if isinstance(v, float)}
+
+
+def _split(row: tuple, floats: set[int]) -> tuple[tuple, tuple]:
+    number = [i in floats and isinstance(v, int | float | Decimal) and not isinstance(v, bool) for i, v in enumerate(row)]
+    exact = tuple(("f",) if n else (isinstance(v, bool), v) for n, v in zip(number, row, strict=True))
+    return exact, tuple(float(v) for n, v in zip(number, row, strict=True) if n)
 
 
 def _match(left: list[tuple], right: list[tuple], tolerance: float) -> int:
@@ -61,27 +68,27 @@ def _match(left: list[tuple], right: list[tuple], tolerance: float) -> int:
     return sum(augment(i, set()) for i in range(len(left)))
 
 
-def _groups(rows: list[tuple]) -> dict[tuple, list[tuple]]:
+def _groups(rows: list[tuple], floats: set[int]) -> dict[tuple, list[tuple]]:
     out: dict[tuple, list[tuple]] = defaultdict(list)
     for r in rows:
-        exact, floats = _split(r)
-        out[exact].append(floats)
+        exact, numbers = _split(r, floats)
+        out[exact].append(numbers)
     return out
 
 
 def multiset_equal(a: list[tuple], b: list[tuple], tolerance: float = TOLERANCE) -> bool:
-    """Same rows as often, with floats matched one to one within exact groups (an int never equals a float's group)."""
+    """Same rows as often: columns with a float on either side matched one to one as numbers, others by value."""
     if len(a) != len(b):
         return False
-    x, y = _groups(a), _groups(b)
-    if x.keys() != y.keys():  # a column that is an int on one side and a float on the other
-        return len(a) <= EXACT_GROUP and _match(a, b, tolerance) == len(a)
-    return all(len(v) == len(y[k]) and _match(v, y[k], tolerance) == len(v) for k, v in x.items())
+    floats = _float_columns(a, b)
+    x, y = _groups(a, floats), _groups(b, floats)
+    return x.keys() == y.keys() and all(len(v) == len(y[k]) and _match(v, y[k], tolerance) == len(v) for k, v in x.items())
 
 
 def multiset_contains(whole: list[tuple], part: list[tuple], tolerance: float = TOLERANCE) -> bool:
     """Whether every row of part is in whole at least as often."""
-    x, y = _groups(whole), _groups(part)
+    floats = _float_columns(whole, part)
+    x, y = _groups(whole, floats), _groups(part, floats)
     return all(len(v) <= len(x.get(k, [])) and _match(v, x[k], tolerance) == len(v) for k, v in y.items())
 
 
