@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 SEPARATORS = " \t\n\x0b\x0c\r"
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+#: Rows of a scratch table's file at least, where the number of rows is known.
+FILE_ROWS = 10_000
+
 _ROOTS: dict[str, str] = {}
 
 
@@ -32,6 +37,12 @@ def shared_root(spark: SparkSession) -> str:
     return _ROOTS[app]
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Hand whole texts to Python 2,000 at a time, unless the session has a batch size of its own."""
+    if spark.conf.get(BATCH_ROWS) == "10000":  # Spark's default
+        spark.conf.set(BATCH_ROWS, str(rows))
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a scratch table, wherever it is stored."""
     jvm = spark.sparkContext._jvm
@@ -53,11 +64,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors.
+
+    rows: how many rows there are at most, if known; a table of few rows gets few files.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(1 + rows // FILE_ROWS)).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidewright_path = path
     return out
@@ -79,34 +93,64 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b), by alternating large-star and small-star steps.
 
     Returns (node, root) for every node that has an edge, root being the smallest node of the
-    component. Each step is one aggregation and one join, written to the shared folder; the loop
-    ends when a round leaves the edge set as it was. Nothing but a count and a checksum is
-    collected. Null ends and loops are ignored; an empty table gives an empty result.
+    component. A round is two aggregations and two joins, written to the shared folder; the loop
+    ends when a round leaves the edge set as it was. Joins on a node with very many edges may be
+    split by adaptive execution. Nothing but a count and a checksum is collected. Null ends and loops
+    are ignored; an empty table gives an empty result.
     """
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     now = materialize(edges.where("a > b").distinct(), "edges")
     before = None
     while True:
+        after = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if after == before or not after[0]:
+            break
+        before = after
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = materialize(large.where("a > b").distinct(), "edges")
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(
             F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b"))
         )).alias("e")).select("e.a", "e.b")
-        small = materialize(small.where("a > b").distinct(), "edges")
-        after = small.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        small = materialize(small.where("a > b").distinct(), "edges", 2 * after[0])
         release(now)
-        release(large)
         now = small
-        if after == before:
-            break
-        before = after
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def forest(links: DataFrame) -> DataFrame:
+    """(node, root) of every node of ``links`` (a, b), where b < a and each a has one link: pointers doubled round by round.
+
+    A round is one join, in which a root with very many nodes may be split. An empty table gives an empty result.
+    """
+    now = materialize(links.select(F.col("a").alias("node"), F.col("b").alias("root")), "forest")
+    n, moved = now.count(), True
+    while moved and n:
+        up = now.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        new = materialize(now.select("node", "root").join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root"), F.col("top").isNotNull().alias("moved")), "forest", n)
+        release(now)
+        now = new
+        moved = not now.where("moved").isEmpty()
+    return now.select("node", "root").unionByName(now.select(F.col("root").alias("node"), "root").distinct())
+
+
+def joined_up(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components (node, root) after ``edges`` (a, b) link more nodes; a node without a label is its own component.
+
+    Only edges between different components are followed further, so what is joined already costs one join.
+    """
+    a, b = labels.toDF("a", "ra"), labels.toDF("b", "rb")
+    between = edges.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a <> b")
+    between = materialize(between.distinct(), "between", edges.count())
+    if between.isEmpty():
+        return labels
+    over = materialize(components(between), "over")
+    old = labels.join(over.toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return materialize(old.unionByName(over.join(labels.select("node"), "node", "left_anti")), "labels")
+
+
 def settle(linked: np.ndarray) -> np.ndarray:
     """The smallest position that each row of a symmetric matrix reaches."""
     root = np.arange(len(linked))

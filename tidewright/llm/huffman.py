@@ -1,7 +1,7 @@
 """Token ids as canonical, length-limited Huffman codes in independent blocks.
 
-A token file is a folder with two parquet tables: ``codebook`` (id, bits), the code lengths from the
-corpus's counts, and ``blocks`` (part, block, payload). Parts are ranges of document ids in ascending
+A token file is a folder with parquet tables: ``codebook`` (id, bits), the code lengths from the
+corpus's counts, and ``blocks`` (part, block, n_ids, payload). Parts are ranges of document ids in ascending
 order; ``parts`` (part, start) has the ids before each. A payload is, little-endian:
 
     "TWH1" | documents u32 | ids u32 | bits u64 | ids before the block within its part u64
@@ -24,13 +24,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import materialize, scratch_path, table
+from tidewright.llm.common import materialize, release, scratch_path, small_batches, table
 from tidewright.llm.tokens import chunks, encoder
 
 STRIDE, BLOCK = 128, 1 << 17
 BROADCAST_PARTS = 100_000
-#: Bytes of input in a range of ids, about.
-PART = 128 << 20
+#: Bytes of token ids in a part, about.
+PART = 64 << 20
 HEAD = struct.Struct("<4sIIQQ")
 
 
@@ -153,82 +153,98 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, weigh) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def blocks_of(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """(document ids, ids of each, all their ids) of blocks of whole documents, from (doc_id, ids) batches in order."""
+    width, n = np.dtype(kind).itemsize, 0
+    keys, counts, ids = [], [], []
+    for batch in batches:
+        key, data = batch.column(0).to_pylist(), batch.column(1)
+        ends = np.frombuffer(data.buffers()[1], np.int32, len(data) + 1, 4 * data.offset).astype(np.int64) // width
+        flat = np.frombuffer(data.buffers()[2], kind, int(ends[-1])) if len(data) and ends[-1] else np.zeros(0, kind)
+        i = 0
+        while i < len(data):
+            j = min(len(data), max(i + 1, int(np.searchsorted(ends, ends[i] + BLOCK - n))))
+            keys += key[i:j]
+            counts.append(np.diff(ends[i : j + 1]))
+            ids.append(flat[ends[i] : ends[j]].copy())  # the batch's memory goes with the batch
+            n += len(ids[-1])
+            if n >= BLOCK:
+                yield keys, np.concatenate(counts), np.concatenate(ids)
+                keys, counts, ids, n = [], [], [], 0
+            i = j
+    if keys:
+        yield keys, np.concatenate(counts), np.concatenate(ids)
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = None) -> None:
     """Encode whole texts and write them as a token file, ascending by document id.
 
     A null text is empty; ``end_id``, if given, ends every document; null ids come first; rows with
-    equal ids stay, ordered by text; other columns are ignored; an empty table makes an empty file.
-    One range shuffle of the texts; counts are summed per task before they are shuffled, and only
-    one number for each id of the vocabulary reaches the driver.
+    equal ids stay, ordered by a hash of the text, then by token ids; a very long text is one row of
+    ids in a block of its own; other columns are ignored; an empty table makes an empty file.
+
+    Texts are encoded where they are read, and counted in the same pass (a row of counts for each task,
+    summed before anything reaches the driver, which gets one number for each id of the vocabulary).
+    One range shuffle, of token ids of two bytes, brings documents in order; compressing follows in the
+    tasks that it ends in.
     """
     spark = docs.sparkSession
-    vocab = encoder(tokenizer).vocab
-    vocab = max(vocab, (end_id or 0) + 1)
+    small_batches(spark)
+    vocab = max(encoder(tokenizer).vocab, (end_id or 0) + 1)
     kind = "<u2" if vocab <= 1 << 16 else "<u4"
     limit = max(16, (vocab - 1).bit_length()) + 2
-    plain = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("before", pa.int64()), ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("ids", pa.binary())])
+    coded = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("ids", pa.binary()), ("used", pa.list_(pa.int32())), ("times", pa.list_(pa.int64()))])
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part = encoder(tokenizer), TaskContext.get().partitionId()
-        end = b"" if end_id is None else np.asarray([end_id], dtype="<u4").tobytes()
-
-        def rows() -> Iterator[tuple]:
-            block = before = n = 0
-            keys, counts, held = [], [], []
-            for batch in batches:
-                ks, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for a, b in chunks(texts):
-                    for key, ids in zip(ks[a:b], enc.encode(texts[a:b]), strict=True):
-                        keys.append(key)
-                        counts.append((len(ids) + len(end)) // 4)
-                        held.append(ids + end)
-                        n += counts[-1]
-                        if n >= BLOCK:
-                            yield part, block, before, keys, counts, np.frombuffer(b"".join(held), "<u4").astype(kind).tobytes()
-                            block, before, n = block + 1, before + n, 0
-                            keys, counts, held = [], [], []
-            if keys:
-                yield part, block, before, keys, counts, np.frombuffer(b"".join(held), "<u4").astype(kind).tobytes()
-
-        return _batches(rows(), plain, lambda r: len(r[5]))
-
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // PART))
-    d = d.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
-    blocks = materialize(d.mapInArrow(tokenise, "part int, block long, before long, docs array<long>, counts array<long>, ids binary"), "ids")
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(vocab, dtype=np.int64)
+        enc, total = encoder(tokenizer), np.zeros(vocab, np.int64)
+        end = np.asarray([] if end_id is None else [end_id], kind).tobytes()
         for batch in batches:
-            for x in batch.column(0):
-                total += np.bincount(np.frombuffer(x.as_buffer(), kind), minlength=vocab)
+            texts = batch.column(2).to_pylist()
+            for a, b in chunks(texts):
+                ids = []
+                for x in enc.encode(texts[a:b]):
+                    x = np.frombuffer(x, "<u4")
+                    ids.append(x.astype(kind).tobytes() + end)
+                step = np.frombuffer(b"".join(ids), kind)
+                total += np.bincount(step, minlength=vocab)
+                none = pa.nulls(b - a, coded.field(3).type), pa.nulls(b - a, coded.field(4).type)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(ids, pa.binary()), *none], schema=coded)
         used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"id": used, "n": total[used]})
+        if len(used):
+            yield pa.RecordBatch.from_pylist([{"used": used.tolist(), "times": total[used].tolist()}], schema=coded)
 
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    rows = materialize(d.mapInArrow(tokenise, "doc_id long, tie long, ids binary, used array<int>, times array<long>"), "ids")
     counts = np.zeros(vocab, dtype=np.int64)
-    for row in blocks.select("ids").mapInArrow(tally, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
-        counts[row["id"]] = row["n"]
+    tally = rows.where("used IS NOT NULL").select(F.explode(F.arrays_zip("used", "times")).alias("x")).groupBy("x.used").agg(F.sum("x.times").alias("n"))
+    for row in tally.collect():  # one row for each id of the vocabulary
+        counts[row["used"]] = row["n"]
     bits = code_lengths(counts, limit)
     spark.createDataFrame(pa.table({"id": np.arange(vocab), "bits": bits.astype(np.int32)})).write.parquet(f"{path}/codebook")
-    sizes = blocks.groupBy("part").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of ids
-    sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")).write.parquet(f"{path}/parts")
     shared = spark.sparkContext.broadcast((bits, canonical(bits)))
-    made = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("payload", pa.binary())])
+    made = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("n_ids", pa.int64()), ("payload", pa.binary())])
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, codes = shared.value
-
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                part, block, before, docs_, counts_, ids = batch.columns
-                for i in range(batch.num_rows):
-                    payload = pack_payload(docs_[i].as_py(), np.asarray(counts_[i].as_py()), np.frombuffer(ids[i].as_buffer(), kind).astype(np.int64), before[i].as_py(), bits, codes)
-                    yield part[i].as_py(), block[i].as_py(), payload
-
-        return _batches(rows(), made, lambda r: len(r[2]))
-
-    blocks.mapInArrow(compress, "part int, block long, payload binary").write.parquet(f"{path}/blocks")
+        part = TaskContext.get().partitionId()
+
+        def payloads() -> Iterator[tuple]:
+            before = 0
+            for block, (keys, n, ids) in enumerate(blocks_of(batches, kind)):
+                yield part, block, len(ids), pack_payload(keys, n, ids.astype(np.int64), before, bits, codes)
+                before += len(ids)
+
+        return _batches(payloads(), made, lambda r: len(r[3]))
+
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, int(counts.sum()) * np.dtype(kind).itemsize // PART))
+    d = rows.where("used IS NULL").select("doc_id", "tie", "ids").repartitionByRange(n, *order).sortWithinPartitions(*order, "ids").select("doc_id", "ids")
+    d.mapInArrow(compress, "part int, block long, n_ids long, payload binary").write.parquet(f"{path}/blocks")
+    release(rows)
+    sizes = spark.read.parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n_ids").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of ids
+    sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")).write.parquet(f"{path}/parts")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
