@@ -1,7 +1,7 @@
 """Near-duplicate texts by b-bit MinHash: band candidates, bit counts, exact confirmation.
 
-1. One pass over whole texts makes each document's set of shingle hashes, its 128 minima, 32 band
-   keys of four minima each, and a signature of the low two bits of every minimum (32 bytes).
+1. One pass over whole texts makes each document's set of shingle hashes, its 128 minima, band keys
+   (for 0.8, 32 of four minima each), and a signature of the low two bits of every minimum (32 bytes).
 2. Documents with equal sets are one class, represented by its smallest id.
 3. Classes that share a band key are candidates. The share of equal two-bit cells, less what chance
    makes equal, estimates similarity; candidates below a margin under the threshold go.
@@ -17,6 +17,7 @@ against block, and a block pair gives back a spanning forest of its links.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,14 +26,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import components, materialize, release, settle, table
+from tidewright.llm.common import forest, joined_up, materialize, release, settle, small_batches, table
 
-HASHES, ROWS, BITS = 128, 4, 2
-BANDS = HASHES // ROWS
-#: Documents in a block of an exact comparison.
-BLOCK = 256
-#: Estimated similarity that a candidate needs: 5 standard deviations of the estimate under 0.8.
-MARGIN = 0.21
+HASHES, BITS = 128, 2
+#: Chance that a pair at the threshold shares no band, at most.
+MISS = 1e-6
+#: Documents in a block of an exact comparison, and shingles, about; of the two the one reached first.
+BLOCK, BLOCK_SHINGLES = 256, 400_000
+#: Members of one bucket that meet in one task of the candidate search.
+MEET = 256
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -42,10 +44,23 @@ def _scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def rows_of_band(percent: int) -> int:
+    """Minima in a band: as many as leave a pair at the threshold a chance of ``MISS`` to share none."""
+    s = percent / 100
+    return max([r for r in (1, 2, 4, 8, 16) if (1 - s**r) ** (HASHES // r) <= MISS], default=1)
+
+
+def least_estimate(percent: int) -> float:
+    """Estimated similarity that a candidate needs: 5 standard deviations of the estimate under the threshold."""
+    chance = 0.5**BITS
+    same = percent / 100 * (1 - chance) + chance
+    return percent / 100 - 5 * math.sqrt(same * (1 - same) / HASHES) / (1 - chance)
+
+
 class Shingler:
     """Sets of word-shingle hashes (64 bits) of whole texts; words by ASCII white space, A-Z lowered."""
 
-    def __init__(self, width: int, limit: int = 400_000):
+    def __init__(self, width: int, limit: int = 100_000):
         self.width, self.limit, self.cache = width, limit, {}
 
     def shingles(self, text: str) -> np.ndarray:
@@ -86,8 +101,8 @@ def minima(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketch(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key, bands, signature) per row; the last three are null for empty sets."""
+def sketch(docs: DataFrame, id_col: str, text_col: str, width: int, rows: int) -> DataFrame:
+    """(doc_id, n_shingles, set_key, bands, signature) per row; the last three are null for empty sets. rows: minima in a band."""
     rng = np.random.default_rng(42)
     a = rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     b = rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -101,14 +116,14 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame
                 sets = [shingler.shingles(t or "") for t in part.column(1).to_pylist()]
                 full = [s for s in sets if len(s)]
                 m = minima(full, a, b)
-                bands = np.zeros((len(full), BANDS), np.uint64)
-                for r in range(ROWS):
-                    bands = _scramble(bands * _MIX[0] + m[:, r::ROWS].astype(np.uint64) + _MIX[1])
-                bands = _scramble(bands + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+                bands = np.zeros((len(full), HASHES // rows), np.uint64)
+                for r in range(rows):
+                    bands = _scramble(bands * _MIX[0] + m[:, r::rows].astype(np.uint64) + _MIX[1])
+                bands = _scramble(bands + np.arange(HASHES // rows, dtype=np.uint64)).view(np.int64)
                 cells = (m & np.uint32(3)).astype(np.uint64).reshape(len(full), HASHES * BITS // 64, 64 // BITS)
                 packed = (cells << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS))).sum(2, dtype=np.uint64).view(np.int64)
-                rows = iter(zip(bands.tolist(), packed.tolist(), strict=True))
-                pairs = [next(rows) if len(s) else (None, None) for s in sets]
+                made = iter(zip(bands.tolist(), packed.tolist(), strict=True))
+                pairs = [next(made) if len(s) else (None, None) for s in sets]
                 keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()),
@@ -174,17 +189,19 @@ def compare_blocks(members: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) inside clusters, as spanning forests, from (id, cluster, root, shingles) rows.
 
     Members of a cluster's largest component need no comparison among themselves; all others are compared
-    with everything. Both kinds are dealt into blocks of about 256, and a task takes two blocks. Small
-    clusters are whole, several to a task.
+    with everything. Both kinds are dealt into blocks of about 256 members or 400,000 shingles, and a task
+    takes two blocks. Small clusters are whole, several to a task, as many as have a block's shingles.
     """
-    size = members.groupBy("cluster", "root").agg(F.count("*").alias("k")).groupBy("cluster").agg(
-        F.sum("k").alias("n"), F.max("k").alias("settled"), F.max_by("root", F.struct("k", "root")).alias("main"))
-    total = members.count()
+    weight = F.size("shingles").cast("long").alias("w")
+    size = members.select("cluster", "root", weight).groupBy("cluster", "root").agg(F.count("*").alias("k"), F.sum("w").alias("w")).groupBy("cluster").agg(
+        F.sum("k").alias("n"), F.sum("w").alias("w"), F.max(F.struct("k", "root", "w")).alias("top"))
+    size = size.select("cluster", "n", "w", F.col("top.k").alias("settled"), F.col("top.w").alias("settled_w"), F.col("top.root").alias("main"))
+    total = members.agg(F.sum(F.size("shingles").cast("long"))).first()[0] or 0
     m = members.join(size, "cluster")
-    small = F.col("n") <= BLOCK
+    small = (F.col("n") <= BLOCK) & (F.col("w") <= BLOCK_SHINGLES)
     zero = F.col("root") == F.col("main")
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
-    n0, n1 = blocks(F.col("settled")), blocks(F.col("n") - F.col("settled"))
+    blocks = lambda n, w: F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(w / BLOCK_SHINGLES)).cast("int")
+    n0, n1 = blocks(F.col("settled"), F.col("settled_w")), blocks(F.col("n") - F.col("settled"), F.col("w") - F.col("settled_w"))
     own = F.when(zero, -1 - F.pmod(F.xxhash64("id"), n0)).otherwise(F.pmod(F.xxhash64("id"), n1)).cast("int")
     m = m.withColumn("own", F.when(small, 0).otherwise(own))
     others = F.sequence(F.lit(0), n1 - 1)
@@ -192,7 +209,7 @@ def compare_blocks(members: DataFrame, percent: int) -> DataFrame:
         zero, F.transform(others, lambda k: F.struct(F.col("own").alias("i"), k.alias("j")))).otherwise(F.concat(
             F.transform(others, lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j"))),
             F.transform(F.sequence(-n0, F.lit(-1)), lambda k: F.struct(k.cast("int").alias("i"), F.col("own").alias("j")))))
-    bin_ = F.when(small, F.pmod(F.xxhash64("cluster"), F.lit(max(1, total // (4 * BLOCK))))).otherwise(F.col("cluster"))
+    bin_ = F.when(small, F.pmod(F.xxhash64("cluster"), F.lit(1 + total // BLOCK_SHINGLES))).otherwise(F.col("cluster"))
     m = m.select("id", "cluster", "root", "shingles", "own", small.alias("small"), bin_.alias("bin"), F.explode(tasks).alias("t"))
 
     def compare(key: tuple, group: pa.Table) -> pa.Table:
@@ -217,60 +234,74 @@ def compare_blocks(members: DataFrame, percent: int) -> DataFrame:
     return m.select("id", "cluster", "root", "shingles", "small", "bin", F.col("t.i").alias("i"), F.col("t.j").alias("j")).groupBy("small", "bin", "i", "j").applyInArrow(compare, "a long, b long")
 
 
+def across_clusters(cells: DataFrame, clusters: DataFrame, signatures: DataFrame, least: float) -> DataFrame:
+    """(a, b) of loose clusters that a pair of one bucket joins, its estimate passing.
+
+    Only buckets with members of several clusters are looked at. A bucket of more than 256 members is dealt
+    into blocks, and a pair of blocks is a join key of its own, so no task takes a whole large bucket.
+    """
+    known = cells.select("cell", "rep").join(clusters.toDF("rep", "cluster"), "rep", "left").withColumn("cluster", F.coalesce("cluster", "rep"))
+    mixed = known.groupBy("cell").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+    mixed = mixed.select("cell", F.ceil(F.col("n") / MEET).cast("int").alias("blocks"))
+    members = materialize(known.join(mixed, "cell").join(signatures, "rep").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "open")
+    x = members.select("cell", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), F.col("cluster").alias("ca"), F.col("signature").alias("s"))
+    y = members.select("cell", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), F.col("cluster").alias("cb"), F.col("signature").alias("t"))
+    pairs = x.join(y, ["cell", "i", "j"]).where((F.col("ca") != F.col("cb")) & (likeness(F.col("s"), F.col("t")) >= least))
+    out = materialize(pairs.select(F.greatest("ca", "cb").alias("a"), F.least("ca", "cb").alias("b")).distinct(), "across")
+    release(members)
+    return out
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row; kept where the row has the smallest id of its component.
 
     width: words in a shingle. percent: least similarity (Jaccard), confirmed on full sets of 64-bit
-    shingle hashes. A text with fewer words than ``width`` is one shingle; null and blank texts have
-    none and link with nothing. Rows that share an id count as one document; a null id links with
-    nothing and has no component; other columns are ignored; an empty table gives no rows.
+    shingle hashes; bands follow from it. A text with fewer words than ``width`` is one shingle; null and
+    blank texts have none and link with nothing; texts of any length are taken whole. Rows that share an
+    id count as one document, each with the size of its own set; a null id links with nothing and has no
+    component; other columns are ignored; an empty table gives no rows.
 
     Pairs of similarity 0.8 share no band with probability (1 - 0.8**4) ** 32 = 5e-8.
     """
-    rows = materialize(sketch(docs, id_col, text_col, width), "sketch")
+    small_batches(docs.sparkSession)
+    least = least_estimate(percent)
+    rows = materialize(sketch(docs, id_col, text_col, width, rows_of_band(percent)), "sketch")
     classes = rows.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(
         F.min("doc_id").alias("rep"), F.max("bands").alias("bands"), F.max("signature").alias("signature"))
-    classes = materialize(classes, "classes")
+    classes = materialize(classes, "classes", rows.count())
     cells = classes.select("rep", F.explode("bands").alias("cell"))
     shared = cells.groupBy("cell").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first <> last")
-    cells = materialize(cells.join(shared.select("cell", "first"), "cell"), "cells")  # only cells of two classes and more
+    # only cells of two classes and more; a class has a row for each band at most
+    cells = materialize(cells.join(shared.select("cell", "first"), "cell"), "cells", 8 * classes.count())
     signatures = classes.select("rep", "signature")
     a_sig, b_sig = signatures.toDF("a", "s"), signatures.toDF("b", "t")
-    least = percent / 100 - MARGIN
     stars = cells.where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()
     stars = stars.join(a_sig, "a").join(b_sig, "b").withColumn("like", likeness(F.col("s"), F.col("t"))).where(F.col("like") >= least)
-    stars = materialize(stars.select("a", "b", "like"), "stars")
+    stars = materialize(stars.select("a", "b", "like"), "stars", cells.count())
+    best = materialize(stars.groupBy("a").agg(F.max_by("b", F.struct("like", -F.col("b"))).alias("b")), "best", stars.count())
 
     # loose clusters: every candidate that passes the estimate ends up inside one
-    clusters = components(stars)
-    known = cells.join(clusters.toDF("rep", "cluster"), "rep", "left").withColumn("cluster", F.coalesce("cluster", "rep"))
-    mixed = known.groupBy("cell").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo <> hi").select("cell")
-    open_cells = materialize(known.join(mixed, "cell").join(signatures, "rep").select("cell", "rep", "cluster", "signature"), "open")
-    x = open_cells.toDF("cell", "a", "ca", "s")
-    y = open_cells.toDF("cell", "b", "cb", "t")
-    across = x.join(y, (x["cell"] == y["cell"]) & (F.col("ca") < F.col("cb")) & (likeness(F.col("s"), F.col("t")) >= least))
-    across = materialize(across.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "across")
+    clusters = joined_up(materialize(forest(best), "labels"), stars.select("a", "b"))
+    across = across_clusters(cells, clusters, signatures, least)
     if not across.isEmpty():
-        lone = across.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        over = components(across).toDF("cluster", "top")
-        clusters = clusters.unionByName(lone.join(clusters, "node", "left_anti").withColumn("root", F.col("node")))
-        clusters = materialize(clusters.withColumnRenamed("root", "cluster").join(over, "cluster", "left").select("node", F.coalesce("top", "cluster").alias("root")), "clusters")
+        clusters = joined_up(clusters, across)
+    release(cells)
+    release(stars)
 
     # full sets of what lies in clusters, and of nothing else
     need = clusters.select(F.col("node").alias("need"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(need, F.col("doc") == F.col("need"), "left_semi")
     sets = materialize(shingle_sets(texts, "doc", "text", width), "sets")
-    best = stars.groupBy("a").agg(F.max_by("b", F.struct("like", -F.col("b"))).alias("b"))
     links = materialize(confirm(best, sets, percent), "links")
-    roots = components(links)
+    roots = materialize(forest(links), "roots")
     members = clusters.toDF("id", "cluster").join(roots.toDF("id", "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     unsettled = members.groupBy("cluster").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("cluster")
     members = materialize(members.join(unsettled, "cluster").join(sets, "id").select("id", "cluster", "root", "shingles"), "members")
-    more = materialize(compare_blocks(members, percent), "more")
-    if not more.isEmpty():
-        roots = components(links.unionByName(more))
     release(sets)
+    more = materialize(compare_blocks(members, percent), "more")
     release(members)
+    if not more.isEmpty():
+        roots = joined_up(roots, more)
     found = classes.select("set_key", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("set_key").alias("k"), F.coalesce("root", "rep").alias("root"))
     out = rows.select("doc_id", "n_shingles", "set_key").join(found, F.col("set_key") == F.col("k"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
