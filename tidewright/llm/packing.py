@@ -2,8 +2,8 @@
 
 Each partition of the input packs its own documents. A document's full windows leave at once; its
 rest is placed at the fill level that makes the sum of squared counts of partly filled windows least,
-read off a level array. At most ``max_open`` windows stay open: beyond that a rest is cut to fill the
-fullest one. What is still open at a partition's end is cut into full windows, and the last rest into
+read off a level array. When the input ends, the least filled window is emptied and its pieces are
+placed again by the same rule, among the others alone, until one is left; that one is cut into
 sequences of power-of-two lengths, which need no padding.
 """
 
@@ -18,10 +18,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import table
+from tidewright.llm.common import small_batches, table
 from tidewright.llm.tokens import chunks, encoder
 
-SIZE, MAX_OPEN = 2048, 256
+SIZE = 2048
+#: Windows that may stay open at once: 32 MB of ids at most. Beyond that a rest goes to the best open one, cut if it fits in none.
+MAX_OPEN = 4096
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
@@ -34,7 +36,7 @@ class SumOfSquares:
         self.levels = np.zeros(size + 1, dtype=np.int64)  # partly filled windows at each fill level
         self.windows: dict[int, list[list]] = defaultdict(list)
 
-    def level_for(self, n: int) -> int:
+    def level_for(self, n: int, may_open: bool = True) -> int:
         """The fill level for ``n`` ids; 0 for a new window, -1 if none fits and none may be opened."""
         at = np.flatnonzero(self.levels[1 : self.size - n + 1]) + 1
         best, cost = -1, None
@@ -43,7 +45,7 @@ class SumOfSquares:
             delta = np.where(to < self.size, 2 * self.levels[to] + 2, 1) - 2 * self.levels[at]
             k = len(at) - 1 - int(np.argmin(delta[::-1]))  # of equal ones the fullest
             best, cost = int(at[k]), int(delta[k])
-        if self.open < self.max_open and (cost is None or 2 * self.levels[n] + 1 < cost):
+        if not self.open or may_open and self.open < self.max_open and (cost is None or 2 * self.levels[n] + 1 < cost):
             return 0
         return best
 
@@ -62,28 +64,37 @@ class SumOfSquares:
             self.levels[level + n] += 1
             self.open += 1
 
+    def _place(self, doc, start: int, ids: bytes, total: int, may_open: bool) -> Iterator[list]:
+        """Place fewer ids than a window holds; where they fit in none, the fullest window is filled and the rest placed."""
+        while ids:
+            n = len(ids) // 4
+            level = self.level_for(n, may_open)
+            if level < 0:
+                level = int(np.flatnonzero(self.levels)[-1])
+                n = self.size - level
+            yield from self._put(level, (doc, start, ids[: 4 * n], total), n)
+            start, ids = start + n, ids[4 * n :]
+
     def add(self, doc, ids: bytes) -> Iterator[list]:
         total = len(ids) // 4
         start = 0
         while total - start >= self.size:
             yield [(doc, start, ids[4 * start : 4 * (start + self.size)], total)]
             start += self.size
-        while start < total:
-            n = total - start
-            level = self.level_for(n)
-            if level < 0:
-                level = int(np.flatnonzero(self.levels)[-1])
-                n = self.size - level
-            yield from self._put(level, (doc, start, ids[4 * start : 4 * (start + n)], total), n)
-            start += n
+        yield from self._place(doc, start, ids[4 * start :], total, True)
 
     def close(self) -> Iterator[list]:
-        """Cut what is open into full windows, and the last rest into powers of two."""
-        rest = [p for level in sorted(self.windows, reverse=True) for w in self.windows[level] for p in w]
+        """Empty the least filled window into the others until one is left; cut that one into powers of two."""
+        while self.open > 1:
+            level = int(np.flatnonzero(self.levels)[0])
+            self.levels[level] -= 1
+            self.open -= 1
+            for doc, start, ids, total in self.windows[level].pop():
+                yield from self._place(doc, start, ids, total, False)
+        rest = [p for ws in self.windows.values() for w in ws for p in w][::-1]
         left = sum(len(p[2]) for p in rest) // 4
-        rest.reverse()
         while left:
-            goal = min(self.size, 1 << (left.bit_length() - 1)) if left < self.size else self.size
+            goal = 1 << (left.bit_length() - 1)
             window, n = [], 0
             while n < goal:
                 doc, start, ids, total = rest.pop()
@@ -104,9 +115,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     a sequence follow each other from offset 0 without a gap. Sequences hold ``size`` ids, but for a
     few of smaller power-of-two lengths at a partition's end. Repeated rows are packed as documents of
     their own; null ids stay null; other columns are ignored; an empty table gives no rows. A
-    sequence's id is made of the partition's number and a count, so a lost task packs alike again.
-    No shuffle; memory is a batch of texts and the open windows.
+    sequence's id is made of the partition's number and a count, so a lost task packs alike again. A
+    text of any length is cut into full windows and a rest. No shuffle; memory is a batch of texts and
+    the open windows.
     """
+    small_batches(docs.sparkSession)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, packer = encoder(tokenizer), SumOfSquares(size, max_open)
