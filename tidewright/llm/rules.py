@@ -2,73 +2,95 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import SEPARATORS, table, words
+from tidewright.llm.common import table, words
 
 WINDOW = 5
-#: (measure, comparison that fails, threshold). The first two are the base rules.
-BASE = [("n_words", "<", 10.0), ("repeat_ratio", ">", 0.20)]
+#: (measure, comparison that fails, threshold); thresholds of ratios are exact decimals, compared as products.
+BASE = [("n_words", "<", 10), ("repeat_ratio", ">", 0.20)]
 TABLE = [
     ("symbol_ratio", ">", 0.10),       # symbols per word
     ("dup_line_ratio", ">", 0.50),     # repeated lines among lines with a word
-    ("mean_word_chars", ">", 30.0),
+    ("mean_word_chars", ">", 30),
     ("mean_word_chars", "<", 1.5),
     ("shout_ratio", ">", 0.60),        # capital letters among the characters of words
     ("pipe_ratio", ">", 0.25),         # lone separators per word
+    ("long_stop_ratio", "<", 0.005),   # stop words per word, in texts of 100 words and more
 ]
+#: Each measure as (numerator, denominator) over the counts of a text; without a denominator the text passes.
+MEASURES = {
+    "n_words": ("n_words", "one"), "repeat_ratio": ("n_repeat_words", "n_words"), "symbol_ratio": ("n_symbols", "n_words"),
+    "dup_line_ratio": ("n_dup_lines", "n_lines"), "mean_word_chars": ("word_chars", "n_words"), "shout_ratio": ("n_capitals", "word_chars"),
+    "pipe_ratio": ("n_pipes", "n_words"), "long_stop_ratio": ("n_stops", "n_long_words"),
+}
 SYMBOLS = "#*$%&|<>"
-#: Common function words of English, German, French and Spanish; a long text without any is no prose.
+#: Common function words of English, German, French and Spanish; a long text with hardly any is no prose.
 STOP_WORDS = ["the", "and", "of", "to", "in", "that", "der", "die", "und", "das", "le", "la", "les", "de", "et", "el", "los", "que", "en", "un", "is", "a"]
-CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+LONG = 100
+
+
+def forms(stop_words: list) -> list:
+    """Each word as it is, capitalised and in capitals."""
+    return [x for w in stop_words for x in dict.fromkeys((w, w.capitalize(), w.upper()))]
+
+
+def only(text: Column, chars: str) -> Column:
+    """The text without all characters but those of a character class."""
+    return F.regexp_replace(text, f"[^{chars}]++", "")
 
 
-def count_chars(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+def fails(measure: str, op: str, threshold: float) -> Column:
+    """Whether a text fails a rule: its counts against an exact fraction, so that no ratio is decided by rounding."""
+    limit = Fraction(str(threshold))
+    top, bottom = MEASURES[measure]
+    left, right = F.col(top) * limit.denominator, F.col(bottom) * limit.numerator
+    return (F.col(bottom) > 0) & (left < right if op == "<" else left > right)
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: list = BASE, table_: list = TABLE, stop_words: list = STOP_WORDS) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, failed) per row.
 
     Words in repeated windows are those of any window of 5 words found twice or more in the text,
-    first one included. Windows are compared by a 64-bit hash of their words; texts whose hashes are
-    all distinct stop there, the others sort (hash, position) and add up what repeated windows cover.
+    first one included. Windows are compared by a 64-bit hash of their words' 64-bit hashes; texts whose
+    hashes are all distinct stop there, the others sort (hash, position) and add up what repeated windows cover.
 
-    A null text counts as empty: no words, so it fails. Repeated rows stay, other columns are
-    ignored, an empty table gives no rows. ``failed`` lists the failing rules of the table. No
-    shuffle and no Python: every measure is an expression over the row.
+    A null text counts as empty: no words, so it fails. Texts of any length are measured whole. Repeated
+    rows and null ids stay, other columns are ignored, an empty table gives no rows. A ratio just at its
+    threshold passes. ``failed`` lists the failing rules, by name. ``base_failed`` goes by the rules of
+    ``base``, whatever they are. No shuffle and no Python: every measure is an expression over the row.
     """
     t = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.select(F.col(id_col).alias("doc_id"), t.alias("t"), words(t).alias("ws"))
-    h = F.when(F.size("ws") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("ws") - WINDOW), lambda i: F.xxhash64(*[F.get(F.col("ws"), i + k) for k in range(WINDOW)])))
-    lines = F.filter(F.split("t", "\n"), lambda x: F.length(F.translate(x, SEPARATORS, "")) > 0)
+    d = docs.select(F.col(id_col).alias("doc_id"), t.alias("t"))
+    lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    d = d.select("doc_id", words(F.col("t")).alias("ws"), lines.alias("lines"), only(F.col("t"), "#*$%&|<>").alias("symbols"), F.length(only(F.col("t"), "A-Z")).cast("long").alias("n_capitals"))
+    # from here on a row has numbers and hashes, no text
     d = d.select(
-        "doc_id", F.size("ws").cast("long").alias("n_words"), F.length(F.translate("t", SEPARATORS, "")).cast("long").alias("word_chars"),
-        count_chars(F.col("t"), SYMBOLS).cast("long").alias("n_symbols"), count_chars(F.col("t"), "|").alias("n_pipes"), count_chars(F.col("t"), CAPITALS).alias("n_capitals"),
-        lines.alias("lines"), h.alias("h"), F.arrays_overlap("ws", F.array(*[F.lit(x) for w in stop_words for x in dict.fromkeys((w, w.capitalize(), w.upper()))])).alias("has_stop"))
-    at = F.array_sort(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        "doc_id", F.size("ws").cast("long").alias("n_words"), F.length(F.array_join("ws", "")).cast("long").alias("word_chars"), "n_capitals",
+        F.size(F.filter("ws", lambda w: w.isin(forms(stop_words)))).cast("long").alias("n_stops"), F.length("symbols").cast("long").alias("n_symbols"),
+        (F.length("symbols") - F.length(F.replace("symbols", F.lit("|"), F.lit("")))).cast("long").alias("n_pipes"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.size("lines").cast("long").alias("n_lines"),
+        F.when(F.size("ws") >= WINDOW, F.transform("ws", lambda w: F.xxhash64(w))).alias("h"))
+    counts = [c for c in d.columns if c != "h"]
+    h = F.transform(F.slice("h", 1, F.size("h") - WINDOW + 1), lambda x, i: F.xxhash64(x, *[F.get(F.col("h"), i + k) for k in range(1, WINDOW)]))
+    d = d.select(*counts, F.when(F.col("h").isNotNull(), h).alias("h"))
+    at = F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
     dup = F.filter("at", lambda x, k: (F.get(F.col("at"), k - 1)["h"] == x["h"]) | (F.get(F.col("at"), k + 1)["h"] == x["h"]))
     pos = F.sort_array(F.transform("dup", lambda x: x["i"]))
     cover = F.aggregate(F.transform("pos", lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("pos"), k + 1) - p, F.lit(WINDOW)))), F.lit(0), lambda a, x: a + x)
-    d = d.withColumn("at", F.when(F.size("h") > F.size(F.array_distinct("h")), at))
-    d = d.withColumn("dup", F.when(F.col("at").isNotNull(), dup)).withColumn("pos", F.when(F.col("dup").isNotNull(), pos))
+    d = d.select(*counts, F.when(F.size("h") > F.size(F.array_distinct("h")), at).alias("at"))
+    d = d.select(*counts, F.when(F.col("at").isNotNull(), dup).alias("dup"))
+    d = d.select(*counts, F.when(F.col("dup").isNotNull(), pos).alias("pos"))
     d = d.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(F.when(F.col("pos").isNotNull(), cover), F.lit(0)).cast("long").alias("n_repeat_words"), F.size("lines").alias("n_lines"), "n_pipes", "n_capitals", "has_stop")
-    per_word = lambda c: F.coalesce(F.try_divide(F.col(c).cast("double"), F.col("n_words")), F.lit(0.0))
-    measures = {
-        "n_words": F.col("n_words").cast("double"), "repeat_ratio": per_word("n_repeat_words"), "symbol_ratio": per_word("n_symbols"), "mean_word_chars": per_word("word_chars"), "pipe_ratio": per_word("n_pipes"),
-        "dup_line_ratio": F.coalesce(F.try_divide(F.col("n_dup_lines").cast("double"), F.col("n_lines")), F.lit(0.0)),
-        "shout_ratio": F.coalesce(F.try_divide(F.col("n_capitals").cast("double"), F.col("word_chars")), F.lit(0.0)),
-    }
-    fails = lambda rules: [F.when(measures[m] < v if op == "<" else measures[m] > v, F.lit(f"{m} {op} {v:g}")) for m, op, v in rules]
-    no_prose = F.when((F.col("n_words") >= 100) & ~F.col("has_stop"), F.lit("no stop word"))
-    failed = F.array_compact(F.array(*fails(base), *fails(table_), no_prose))
-    # in integers, so that a ratio of just 0.2 is not decided by rounding
-    base_failed = (F.col("n_words") < int(base[0][2])) | (100 * F.col("n_repeat_words") > round(100 * base[1][2]) * F.col("n_words"))
-    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), failed.alias("failed")).withColumn(
-        "kept", ~F.col("base_failed") & (F.size("failed") == 0))
+        *counts, F.coalesce(F.when(F.col("pos").isNotNull(), cover), F.lit(0)).cast("long").alias("n_repeat_words"),
+        F.when(F.col("n_words") >= LONG, F.col("n_words")).otherwise(0).cast("long").alias("n_long_words"), F.lit(1).cast("long").alias("one"))
+    named = lambda rules: [F.when(fails(*r), F.lit(f"{r[0]} {r[1]} {r[2]:g}")) for r in rules]
+    d = d.withColumn("base", F.array_compact(F.array(*named(base)).cast("array<string>"))).withColumn("more", F.array_compact(F.array(*named(table_)).cast("array<string>")))
+    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (F.size("base") > 0).alias("base_failed"),
+                    F.concat("base", "more").alias("failed")).withColumn("kept", F.size("failed") == 0)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,12 +108,12 @@ n AS (SELECT doc_id, CAST(sum(covered) AS BIGINT) AS n_repeat_words FROM c GROUP
 l AS (SELECT doc_id, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
         length(t) - length(replace(t, '|', '')) AS n_pipes, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_capitals,
         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
-        list_has_any(ws, [STOPS]) AS has_stop FROM d),
+        len(list_filter(ws, lambda x: x IN (STOPS))) AS n_stops FROM d),
 m AS (SELECT l.*, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM l LEFT JOIN n USING (doc_id)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR CAST(n_symbols AS DOUBLE) / n_words > 0.1 OR (len(lines) > 0 AND CAST(n_dup_lines AS DOUBLE) / len(lines) > 0.5)
-         OR CAST(word_chars AS DOUBLE) / n_words > 30 OR CAST(word_chars AS DOUBLE) / n_words < 1.5 OR CAST(n_capitals AS DOUBLE) / word_chars > 0.6 OR CAST(n_pipes AS DOUBLE) / n_words > 0.25
-         OR (n_words >= 100 AND NOT has_stop)) AS kept
+       NOT (base_failed OR 10 * n_symbols > n_words OR 2 * n_dup_lines > len(lines)
+         OR word_chars > 30 * n_words OR 2 * word_chars < 3 * n_words OR 5 * n_capitals > 3 * word_chars OR 4 * n_pipes > n_words
+         OR (n_words >= 100 AND 200 * n_stops < n_words)) AS kept
 FROM b
-""".replace("STOPS", ", ".join(f"'{x}'" for w in STOP_WORDS for x in dict.fromkeys((w, w.capitalize(), w.upper()))))
+""".replace("STOPS", ", ".join(f"'{x}'" for x in forms(STOP_WORDS)))
