@@ -12,7 +12,8 @@ rows: a window that keeps close pairs holds a quarter of all unrelated ones. Cel
 as it is and bound the pairs that are counted.)
 
 A pair is counted in the first table whose cell it shares, so neither pairs nor links are shuffled:
-a cell yields, for each of its vectors, a number of links and one edge of a spanning forest.
+a cell yields, for each of its vectors, a number of links and one edge of a spanning forest. Collisions
+are counted first; whether an earlier table has a pair is asked of those alone that pass.
 """
 
 from __future__ import annotations
@@ -71,18 +72,26 @@ def collisions(x: np.ndarray, y: np.ndarray, width: float) -> np.ndarray:
     return out
 
 
+def type_of(vectors: DataFrame, column: str) -> str:
+    return vectors.schema[column].dataType.simpleString()
+
+
 def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, seed: int = 5) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row; kept where the row has the smallest id of its component.
 
     Vectors that are null, empty, zero or hold a null or non-finite component link with nothing, nor
-    do vectors of different lengths; a null id links with nothing and has no component. Rows with an
-    equal id and vector count as vectors of their own. Labels and other columns are ignored; an empty
-    table gives no rows. A cell of more than 1,024 vectors is dealt out in pairs of blocks.
+    do vectors of different lengths; a null id links with nothing and has no component. Rows that share
+    an id, with equal vectors or not, are vectors of their own, so their links are counted apart. Labels
+    and other columns are ignored; an empty table gives no rows. A cell of more than 1,024 vectors is
+    dealt out in pairs of blocks.
     """
-    v = F.col(vector_col).cast("array<double>")
+    single = type_of(vectors, vector_col) == "array<float>"  # shuffled as they are, compared in double precision
+    kind = "array<float>" if single else "array<double>"
+    v = F.col(vector_col).cast(kind)
     ok = F.col(id_col).isNotNull() & F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)) & ~F.isnan(x)) & F.exists(v, lambda x: x != 0), F.lit(False))
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(ok, v).alias("v"))
-    classes = materialize(rows.where("v IS NOT NULL").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vectors")
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(ok, v).alias("v")).withColumn("code", F.xxhash64("v"))
+    classes = rows.where("v IS NOT NULL").groupBy("code", "v").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("n"))
+    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "vectors")  # written, so the number stays a class's own
     cuts, tables = plan(classes.count(), cosine)
     width, least = calibrate(cosine)
 
@@ -92,45 +101,42 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             size = np.array([len(x) for x in b.column(0).to_pylist()]) if b.num_rows else np.zeros(0, int)
-            out = np.zeros((b.num_rows, tables), np.int64)
+            out = np.zeros((b.num_rows, tables), np.int32)
             for dim in set(size.tolist()):
                 at = np.flatnonzero(size == dim)
                 x = unit(np.array(b.column(0).take(pa.array(at)).flatten()).reshape(-1, dim))
                 side = (x @ planes(dim, max(1, cuts * tables), 0) > 0)[:, : cuts * tables].reshape(len(at), tables, cuts)
-                out[at] = (side << np.arange(cuts)).sum(2) + (dim << 40)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out.tolist(), pa.list_(pa.int64()))], names=["v", "rep", "n", "cells"])
+                out[at] = (side << np.arange(cuts)).sum(2)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, tables, dtype=np.int32)), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns, flat, pa.array(size, pa.int32())], names=["v", "rep", "n", "cells", "dim"])
 
-    coded = materialize(classes.mapInArrow(cells, "v array<double>, rep long, n long, cells array<long>"), "cells")
-    met = coded.select("v", "rep", "n", "cells", F.posexplode("cells").alias("t", "cell"))
-    sizes = coded.select(F.posexplode("cells").alias("t", "cell")).groupBy("t", "cell").agg(F.count("*").alias("size")).where("size > 1")
+    coded = materialize(classes.select("v", "rep", "n").mapInArrow(cells, f"v {kind}, rep long, n long, cells array<int>, dim int"), "cells")
+    met = coded.select("v", "rep", "n", "cells", "dim", F.posexplode("cells").alias("t", "cell"))
+    sizes = coded.select("dim", F.posexplode("cells").alias("t", "cell")).groupBy("dim", "t", "cell").agg(F.count("*").alias("size")).where("size > 1")
     big = F.ceil(F.col("size") / BLOCK).cast("int")
-    met = met.join(sizes, ["t", "cell"]).withColumn("blocks", big).withColumn("own", F.pmod(F.xxhash64("rep", "v"), F.col("blocks")).cast("int"))
+    met = met.join(sizes, ["dim", "t", "cell"]).withColumn("blocks", big).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("t", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "v", "cells")
+    met = met.select("dim", "t", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "v", "cells")
 
     def meet(key: tuple, group: pa.Table) -> pa.Table:
-        t, i, j = key[0].as_py(), key[2].as_py(), key[3].as_py()
+        dim, t, _, i, j = (k.as_py() for k in key)
         none = pa.table({"rep": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
         own, rep, n = (group[c].to_numpy() for c in ("own", "rep", "n"))
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         if not len(left) or not len(right) or len(rep) < 2:
             return none
-        dim = len(group["v"][0])
-        x = np.concatenate([np.asarray(c.flatten()) for c in group["v"].chunks]).reshape(-1, dim)
-        code = np.concatenate([np.asarray(c.flatten()) for c in group["cells"].chunks]).reshape(-1, tables)
-        fresh = np.ones((len(left), len(right)), bool)
-        for s in range(t):
-            fresh &= code[left, s][:, None] != code[right, s][None]
-        if i == j:
-            np.fill_diagonal(fresh, False)
-        if not fresh.any():
-            return none
+        x = np.concatenate([np.asarray(c.flatten()) for c in group["v"].chunks]).reshape(-1, dim).astype(np.float64)
         shadow = unit(x) @ planes(dim, COUNTED, 1)
-        fresh &= collisions(shadow[left], shadow[right], width) >= least
-        a, b = np.nonzero(fresh)
-        if i == j:  # both directions of a pair by one decision
-            both = np.unique(np.concatenate([np.minimum(a, b) * len(left) + np.maximum(a, b)]))
-            a, b = both // len(left), both % len(left)
+        close = collisions(shadow[left], shadow[right], width) >= least
+        if i == j:  # both directions of a pair by one decision, and no vector with itself
+            close = np.triu(close | close.T, 1)
+        a, b = np.nonzero(close)
+        code = np.concatenate([np.asarray(c.flatten()) for c in group["cells"].chunks]).reshape(-1, tables)
+        for s in range(t):  # what an earlier table has is counted there
+            if not len(a):
+                break
+            fresh = code[left[a], s] != code[right[b], s]
+            a, b = a[fresh], b[fresh]
         if not len(a):
             return none
         x = x / np.abs(x).max(axis=1, keepdims=True)
@@ -147,13 +153,14 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         has = np.flatnonzero(links)
         return pa.table({"rep": rep[has], "links": links[has].astype(np.int64), "root": root[has]})
 
-    found = materialize(met.groupBy("t", "cell", "i", "j").applyInArrow(meet, "rep long, links long, root long"), "links")
-    roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    found = materialize(met.groupBy("dim", "t", "cell", "i", "j").applyInArrow(meet, "rep long, links long, root long"), "links")
+    roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    of = classes.join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
-        F.col("v").alias("w"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("root"))
-    out = rows.join(of, F.col("v") == F.col("w"), "left")
-    component = F.coalesce("root", "vec_id")
+    of = materialize(classes.select("code", "v", "rep", "least_id", (F.col("n") - 1).alias("same")).join(links, "rep", "left").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep")), "linked")
+    lowest = of.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    of = of.join(lowest, "root").select(F.col("code").alias("c"), F.col("v").alias("w"), (F.col("same") + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
+    out = rows.join(of, (F.col("code") == F.col("c")) & (F.col("v") == F.col("w")), "left")
+    component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
 
 
