@@ -1,6 +1,6 @@
 """URL filters: host-suffix and path-prefix expressions joined to rules by short hash prefixes.
 
-Every URL becomes the expressions that a rule could have (host suffix + path prefix). They meet the
+Every URL becomes the expressions that a rule could have (host suffix, path prefix). They meet the
 rules by an equi-join on the first 8 hex digits of SHA-256; full digests confirm, the longest rule
 wins (then the longer host, then block before allow). Only DataFrame functions are used.
 """
@@ -14,6 +14,8 @@ from tidewright.llm.common import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SHORT = 8
+#: Between host and path in what is hashed; a URL's host ends before it, so no other split of a rule looks alike.
+BETWEEN = "?"
 #: Rules are broadcast up to this many; more are joined by a shuffle.
 BROADCAST_RULES = 100_000
 #: (host, path, verdict)
@@ -33,21 +35,23 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
 
     A null URL or one without ``://`` has an empty host and path and gets the default verdict. A
     rule fits its host and all subdomains if the path starts with the rule's path. Repeated rows
-    stay; other columns are ignored; null ids stay; no pages give no rows, no rules the default.
+    stay; other columns are ignored; null ids stay; no pages give no rows, no rules the default. Letters
+    A-Z of hosts are lowered on both sides, others are as they are. A URL of any length is taken whole; of
+    equal rules, and of rules that tie, blocking wins.
 
     Host suffixes are made only for the label counts that rules have and path prefixes only at the
     slashes up to the deepest rule, or at the lengths of rules that do not end in a slash: two sets
     of small numbers, bounded by the longest rule. Rows are combined per page before the shuffle.
     """
-    r = rules.select(F.lower("host").alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").where("host IS NOT NULL")
+    r = rules.select(F.translate("host", UPPER, LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").where("host IS NOT NULL")
     shape = r.agg(
         F.collect_set(F.size(F.split("host", r"\."))).alias("labels"), F.count("*").alias("n"),
         F.max(F.when(F.col("path").endswith("/"), F.size(F.split("path", "/")) - 1)).alias("depth"),
         F.collect_set(F.when(~F.col("path").endswith("/"), F.length("path"))).alias("lengths")).first()
-    expr = F.concat("host", "path")
+    expr, tested = F.concat("host", "path"), F.concat("host", F.lit(BETWEEN), "path")
     best = F.struct(F.length(expr).alias("size"), F.length("host").alias("host_size"), (F.col("verdict") == "block").alias("blocks"),
                     expr.alias("rule"), F.col("verdict"))
-    r = r.select(F.sha2(expr, 256).alias("digest"), best.alias("best")).groupBy("digest").agg(F.max("best").alias("best"))
+    r = r.select(F.sha2(tested, 256).alias("digest"), best.alias("best")).groupBy("digest").agg(F.max("best").alias("best"))
     r = r.groupBy(F.substring("digest", 1, SHORT).alias("short")).agg(F.collect_list(F.struct("digest", "best")).alias("found"))
     if shape["n"] <= BROADCAST_RULES:
         r = F.broadcast(r)
@@ -60,7 +64,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
         *[F.when(F.size("ps") > d, F.concat(F.array_join(F.slice("ps", 1, d), "/"), F.lit("/"))) for d in range(1, depth + 1)],
         *[F.when(F.length("path") >= k, F.substring("path", 1, k)) for k in lengths]), lambda x: x.isNotNull()) if depth or lengths else F.array().cast("array<string>")
     made = p.select("id", "host", "path", suffixes.alias("ss"), prefixes.alias("pp")).select(
-        "id", "host", "path", F.posexplode_outer(F.flatten(F.transform("ss", lambda s: F.transform(F.col("pp"), lambda q: F.sha2(F.concat(s, q), 256))))).alias("pos", "digest"))
+        "id", "host", "path", F.posexplode_outer(F.flatten(F.transform("ss", lambda s: F.transform(F.col("pp"), lambda q: F.sha2(F.concat(s, F.lit(BETWEEN), q), 256))))).alias("pos", "digest"))
     hit = made.withColumn("short", F.substring("digest", 1, SHORT)).join(r, "short", "left")
     match = F.array_max(F.transform(F.filter("found", lambda f: f["digest"] == F.col("digest")), lambda f: f["best"]))
     first = F.when(F.coalesce(F.col("pos"), F.lit(0)) == 0, 1).otherwise(0)
