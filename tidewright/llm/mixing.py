@@ -44,13 +44,26 @@ def targets(sizes: DataFrame, weights: tuple, budget: float, repeats: int) -> Da
     return s.select("source", "source_size", "rank", F.coalesce(share, F.lit(0.0)).alias("target"))
 
 
+def slice_starts(sums: DataFrame) -> DataFrame:
+    """(rank, slice, start) from (rank, slice, words): the words of a source before each of its slices.
+
+    Summed in two levels, so that no task takes a source's slices: first runs of 4096 slices, then inside each.
+    """
+    run = F.floor(F.col("slice") / PARTS)
+    up = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    runs = sums.groupBy("rank", run.alias("run")).agg(F.sum("words").alias("words"))
+    runs = runs.select("rank", "run", F.coalesce(F.sum("words").over(up("rank").orderBy("run")), F.lit(0)).alias("first"))
+    inside = F.coalesce(F.sum("words").over(up("rank", "run").orderBy("slice")), F.lit(0))
+    return sums.withColumn("run", run).select("rank", "run", "slice", inside.alias("more")).join(runs, ["rank", "run"]).select("rank", "slice", (F.col("first") + F.col("more")).alias("start"))
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                 weights: tuple = WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS, seed: str = "", carry: tuple = ()) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) per row, plus the columns in ``carry``; taken counts repeats.
 
     ``weights`` go to the sources by code point, null last, repeating. A null text has no words; an
-    empty document takes none. Null ids are shuffled as an empty string. Equal rows are queued one
-    after the other. Other columns are ignored; an empty table gives no rows. Carried columns decide
+    empty document takes none. Rows with a null id are shuffled by a hash of their text. Equal rows are
+    queued one after the other; texts of any length count whole. Other columns are ignored; an empty table gives no rows. Carried columns decide
     between rows of one id and size; they wait beside the queue and join it by a row number.
 
     The running sum of a source, however large, is taken in slices: sums per (source, slice) give
@@ -58,7 +71,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found by narrowing an interval of finish times, with sums of at most 4096 parts at a time.
     """
     spark = docs.sparkSession
-    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("key")
+    name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), F.xxhash64(text_col).cast("string")))
+    key = F.md5(F.concat(F.lit(seed), name)).alias("key")
     number = [F.monotonically_increasing_id().alias("row"), F.xxhash64(*carry).alias("tie"), F.struct(*carry).alias("carried")] if carry else []
     rows = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key, *number), "mix")
     carried, rows = rows, rows.drop("carried")
@@ -71,8 +85,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     t = t.withColumnRenamed("source", "of")
     rows = rows.join(t, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("slice", at)
     sums = rows.groupBy("rank", "slice").agg(F.sum("size").alias("words"))
-    before = Window.partitionBy("rank").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("rank", "slice", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start"))
+    starts = slice_starts(sums)
     inside = Window.partitionBy("rank", "slice").orderBy("key", "doc_id", "size", *["tie", "row"][: len(number)]).rowsBetween(Window.unboundedPreceding, 0)
     q = rows.join(starts, ["rank", "slice"]).withColumn("cum", F.col("start") + F.sum("size").over(inside))
     q = materialize(q.select("doc_id", "source", "size", "source_size", "target", "rank", "key", "cum", *["row"][: len(number)]), "queue")
