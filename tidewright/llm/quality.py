@@ -4,7 +4,8 @@ Two logistic models over shape measures and telling words and word beginnings, o
 one for toxicity, give each document a log-likelihood ratio for "good" (quality 1 and not toxic).
 Grouped sums of the resulting posteriors give each host and each path a beta posterior: a host
 shrinks towards the corpus, a path towards its host, by a strength that the spread between hosts
-(paths) sets. A document is judged by its evidence and its path's prior together.
+(paths) sets. A document is judged by its evidence and its path's prior together; its own posterior is
+left out of the sums that make that prior, so that it does not count twice.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import materialize, table
+from tidewright.llm.common import materialize, small_batches, table
 
 #: Labelled documents that the classifier is fitted on at most, taken by a hash of their id.
 SAMPLE = 5000
@@ -170,16 +171,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     return ((list(r["shape"]), set(bytes(r["words"]).split(b"\n")), r["quality"], r["toxic"]) for r in found.toLocalIterator())
 
 
-def score(docs: DataFrame, model: Classifier, id_col: str, text_col: str, host_col: str, path_cols: tuple) -> DataFrame:
-    """(doc_id, host, path, evidence) per row: one pass over whole texts, nothing shuffled."""
+def score(docs: DataFrame, model: Classifier, id_col: str, text_col: str, host_col: str, path_cols: tuple, carry: tuple = ()) -> DataFrame:
+    """(doc_id, host, path, evidence[, carried]) per row: one pass over whole texts, nothing shuffled. carried: a struct of ``carry``."""
     path = F.to_json(F.struct(*[F.col(c).alias(f"p{i}") for i, c in enumerate((host_col, *path_cols))]))
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), path.alias("path"), F.col(text_col).cast("string").alias("text"))
+    more = [F.struct(*carry).alias("carried")] if carry else []
+    d = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), path.alias("path"), *more)
+    names = ["doc_id", "host", "path", *["carried"][: len(more)], "evidence"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(model.evidence(b.column(3).to_pylist()))], names=["doc_id", "host", "path", "evidence"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(model.evidence(b.column(0).to_pylist()))], names=names)
 
-    return d.mapInArrow(run, "doc_id long, host string, path string, evidence double")
+    kind = f", carried {d.schema['carried'].dataType.simpleString()}" if carry else ""
+    return d.mapInArrow(run, f"doc_id long, host string, path string{kind}, evidence double")
 
 
 def _strength(groups: DataFrame, mean: Column | float, weight: str = "n", share: str = "p") -> float:
@@ -198,7 +204,8 @@ def judge(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Add host_prior, path_prior, posterior and kept to (doc_id, host, path, evidence) rows.
 
     Sums by path combine on the map side, and hosts are sums of paths, so a host with a third of all
-    rows is a few partial sums. Priors go back to the rows by a join on path that may be split.
+    rows is a few partial sums. Sums go back to the rows by a join on path that may be split; a row's
+    own share is taken off there.
     """
     q = 1 / (1 + F.exp(-F.col("evidence")))
     paths = materialize(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(q).alias("s")), "paths")
@@ -206,27 +213,32 @@ def judge(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     mean = float(np.clip(((total["s"] or 0) + 1) / ((total["n"] or 0) + 2), 0.02, 0.98))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
     a = _strength(hosts.select(F.col("hn").alias("n"), (F.col("hs") / F.col("hn")).alias("p")), mean)
-    hosts = hosts.select(F.col("host").alias("h"), ((F.col("hs") + a * mean) / (F.col("hn") + a)).alias("host_prior"))
-    both = paths.join(hosts, F.col("host").eqNullSafe(F.col("h")), "left").drop("h")
-    b = _strength(both.select("n", (F.col("s") / F.col("n")).alias("p"), "host_prior"), F.col("host_prior"))
-    priors = both.select(F.col("path").alias("of"), "host_prior", ((F.col("s") + b * F.col("host_prior")) / (F.col("n") + b)).alias("path_prior"))
-    out = scored.join(priors, F.col("path") == F.col("of"), "left").drop("of")
+    both = paths.join(hosts.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h")), "left").drop("h")
+    shrunk = (F.col("hs") + a * mean) / (F.col("hn") + a)
+    b = _strength(both.select("n", (F.col("s") / F.col("n")).alias("p"), shrunk.alias("host_prior")), F.col("host_prior"))
+    sums = both.select(F.col("path").alias("of"), "n", "s", "hn", "hs")
+    out = scored.join(sums, F.col("path") == F.col("of"), "left").withColumn("own", q)
+    out = out.withColumn("host_prior", (F.greatest(F.col("hs") - F.col("own"), F.lit(0.0)) + a * mean) / (F.col("hn") - 1 + a))
+    out = out.withColumn("path_prior", (F.greatest(F.col("s") - F.col("own"), F.lit(0.0)) + b * F.col("host_prior")) / (F.col("n") - 1 + b))
     p = F.greatest(F.lit(0.02), F.least(F.lit(0.98), F.col("path_prior")))
-    out = out.withColumn("posterior", 1 / (1 + F.exp(-(F.col("evidence") + F.log(p / (1 - p))))))
+    out = out.drop("of", "n", "s", "hn", "hs", "own").withColumn("posterior", 1 / (1 + F.exp(-(F.col("evidence") + F.log(p / (1 - p))))))
     return out.withColumn("kept", F.col("posterior") >= threshold - 1e-9)
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_cols: tuple = ("lang",), threshold: float = PRIOR) -> DataFrame:
-    """(doc_id, host, path, evidence, host_prior, path_prior, posterior, kept) per row of ``docs``.
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_cols: tuple = ("lang",), threshold: float = PRIOR, carry: tuple = ()) -> DataFrame:
+    """(doc_id, host, path, evidence, host_prior, path_prior, posterior, kept[, carried]) per row of ``docs``.
 
-    ``labels`` has doc_id, quality, toxic; of several labels of a document the worst count.
-    A null text is empty, and so is judged as one; null hosts and paths are groups of their own;
-    repeated rows and null ids stay; other columns are ignored. Without labels of both classes there
-    is no evidence and every document is judged by an even prior. An empty table gives no rows.
-    The classifier is fitted on at most 5,000 labelled documents; all else covers every row.
+    ``labels`` has doc_id, quality, toxic; of several labels of a document the worst count. A null text
+    is empty, and so is judged as one; a text of any length is judged whole; null hosts and paths are
+    groups of their own; repeated rows and null ids stay, each judged for itself, equal ones alike; a
+    posterior just at the threshold is kept. Other columns are ignored, but those in ``carry`` come
+    back as the struct ``carried``. Without labels of both classes there is no evidence and every
+    document is judged by an even prior. An empty table gives no rows. The classifier is fitted on at
+    most 5,000 labelled documents; all else covers every row.
     """
+    small_batches(docs.sparkSession)
     model = Classifier(labelled_sample(docs, labels, id_col, text_col))
-    return judge(materialize(score(docs, model, id_col, text_col, host_col, path_cols), "scores"), threshold)
+    return judge(materialize(score(docs, model, id_col, text_col, host_col, path_cols, carry), "scores"), threshold)
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import table
+from tidewright.llm.common import small_batches, table
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 KEYWORDS = ("passw", "secret", "token", "api")
@@ -235,8 +235,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Positions are code points, ends exclusive. A null text is empty for the scan and stays null when
     redacted; repeated rows and null ids stay; other columns are ignored; an empty table gives no
-    rows. Texts are scanned where they are read, a bounded batch at a time; nothing is shuffled.
+    rows. Texts of any length are scanned whole where they are read, a bounded batch at a time; of spans
+    that tie in their start the kinds come in the order of ``KINDS``; nothing is shuffled.
     """
+    small_batches(docs.sparkSession)
     scanner = Scanner(model or default_model())
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
     keep = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c) for c in carry])
