@@ -11,10 +11,15 @@ def brute(ids, x, cosine=0.9):
     g = (x @ x.T) / (norm[:, None] * norm[None]) >= cosine
     np.fill_diagonal(g, False)
     ids = np.array(ids)
-    order = np.argsort(ids, kind="stable")
-    root = np.empty(len(ids), int)
-    g2 = g[order][:, order]
-    root[order] = ids[order][E.settle(g2)]
+    root = ids.copy()
+    for start in range(len(ids)):  # a walk from every vector, smallest id first
+        start = int(np.argsort(ids, kind="stable")[start])
+        todo = [start] if root[start] == ids[start] else []
+        while todo:
+            at = todo.pop()
+            for j in np.flatnonzero(g[at] & (root > ids[start])).tolist():
+                root[j] = ids[start]
+                todo.append(j)
     return {int(i): (int(k), int(r)) for i, k, r in zip(ids, g.sum(1), root, strict=True)}
 
 
@@ -60,3 +65,16 @@ def test_edges(spark):
     alone = [(str(i), 0, str(i), True) for i in (1, 2, 3, 4, 5, 6, 9)]
     assert got == sorted([*alone, ("7", 1, "7", True), ("8", 1, "7", False), ("None", 0, "None", True), ("10", 3, "10", True), ("11", 3, "10", False), ("12", 3, "10", False), ("12", 3, "10", False)])
     assert E.link_vectors(df.limit(0)).count() == 0
+
+
+def test_repeated_ids_with_other_vectors(spark):
+    rows = [(2, [1.0, 0.0]), (2, [0.0, 1.0]), (5, [1.0, 0.01]), (1, [-1.0, 0.0]), (7, [0.01, 1.0]), (7, [0.0, 1.0])]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in E.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(1, 0, 1), (2, 1, 2), (2, 2, 2), (5, 1, 2), (7, 2, 2), (7, 2, 2)]
+
+
+def test_registered_query(spark):
+    t = pq.read_table("/root/testdata/sf0.01/embeddings.parquet")
+    want = brute(t["vec_id"].to_pylist(), np.array(t["embedding"].to_pylist()))
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in E.op7_embedding_dedup(spark, "/root/testdata/sf0.01").collect()}
+    assert got == {i: (k, c, i == c) for i, (k, c) in want.items()}

@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pyarrow.parquet as pq
 
+from tidewright.llm import common
 from tidewright.llm import minhash as M
 
 
@@ -93,3 +94,60 @@ def test_edges(spark, make_docs):
     assert M.near_duplicates(make_docs([])).count() == 0
     got = M.near_duplicates(make_docs([(None, "a b c"), (1, "a b c"), (1, "a b c"), (2, "a b c"), (3, None)])).collect()
     assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in got) == [("1", "1", True), ("1", "1", True), ("2", "1", False), ("3", "3", True), ("None", "None", True)]
+
+
+def test_bands_follow_the_threshold():
+    assert M.rows_of_band(80) == 4 and abs(M.least_estimate(80) - 0.59) < 0.005
+    for percent in (30, 50, 65, 80, 90, 95):
+        r = M.rows_of_band(percent)
+        assert (1 - (percent / 100) ** r) ** (M.HASHES // r) <= M.MISS
+
+
+def test_half_alike(spark, make_docs):
+    rng = np.random.default_rng(6)
+    rows = []
+    for g in range(40):
+        base = [f"g{g}w{i}" for i in range(120)]
+        rows.append((2 * g, " ".join(base)))
+        rows.append((2 * g + 1, " ".join(base[: int(rng.integers(70, 100))] + [f"z{g}x{i}" for i in range(20)])))
+    sets = [shingle_set(t) for _, t in rows]
+    linked = {2 * g for g in range(40) if 2 * len(sets[2 * g] & sets[2 * g + 1]) >= len(sets[2 * g] | sets[2 * g + 1])}
+    got = {r.doc_id: r.component_id for r in M.near_duplicates(make_docs(rows), width=2, percent=50).collect()}
+    assert 0 < len(linked) < 40 and {2 * g for g in range(40) if got[2 * g + 1] == 2 * g} == linked
+
+
+def test_large_bucket_in_blocks(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(M, "MEET", 8)
+    rng = np.random.default_rng(7)
+    rows = []
+    for k in range(60):  # a long common passage, so buckets hold texts of several clusters
+        own = [f"k{k // 3}w{i}" for i in range(int(30 + k // 3))]
+        own[int(rng.integers(30))] = f"y{k}"
+        rows.append((k, " ".join([f"c{i}" for i in range(170)] + own)))
+    check(spark, make_docs(rows), rows)
+
+
+def test_long_texts_and_ids_with_two_texts(spark, make_docs):
+    long = " ".join(f"w{i}" for i in range(60000))
+    rows = [(1, long), (2, long + " end"), (3, "q " * 50000), (4, "q")]
+    check(spark, make_docs(rows), rows)
+    got = M.near_duplicates(make_docs([(1, "a b c"), (1, "x y z w"), (2, "a b c"), (3, "x y z w")]), width=2).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == [(1, 2, 1, True), (1, 3, 1, True), (2, 2, 1, False), (3, 3, 1, False)]
+
+
+def test_registered_query(spark):
+    path = "/root/testdata/sf0.001"
+    t = pq.read_table(f"{path}/documents.parquet")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in M.op8_minhash_dedup(spark, path).collect())
+    assert got == brute(list(zip(t["doc_id"].to_pylist(), t["text"].to_pylist(), strict=True)))
+
+
+def test_forest_and_components(spark):
+    chain = [(i + 1, i) for i in range(300)] + [(1000 + i, 1000) for i in range(1, 500)]
+    links = spark.createDataFrame(chain, "a long, b long")
+    want = {i: 0 for i in range(301)} | {i: 1000 for i in range(1000, 1500)}
+    assert {r.node: r.root for r in common.forest(links).collect()} == want
+    assert {r.node: r.root for r in common.components(links).collect()} == want
+    more = common.joined_up(common.forest(links), spark.createDataFrame([(300, 1400), (7, 2000)], "a long, b long"))
+    assert {r.node: r.root for r in more.collect()} == dict.fromkeys([*want, 2000], 0)
+    assert common.forest(links.limit(0)).count() == common.components(links.limit(0)).count() == 0

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tidewright.llm import chat, mixing, rules, urls
+from tidewright.llm import chat, mixing, queries, rules, urls
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -101,6 +101,15 @@ def test_url_rules(spark, table, most, monkeypatch):
     assert urls.filter_urls(pages.limit(0), ruled).count() == 0
 
 
+def test_url_rules_with_other_letters_and_splits(spark):
+    table = [("net", "work/", "block"), ("Äb.DE", "/", "block"), ("ä.org", "/x", "block"), ("a.net?", "/q", "block")]
+    rows = list(enumerate(["http://network/x", "http://net/work/", "http://x.ÄB.de/", "http://x.Äb.de/", "http://x.äb.de/", "http://Ä.org/x", "http://ä.ORG/xy", "http://a.net/q", "http://a.net?/q", "http://networ/k/"]))
+    got = {r[0]: tuple(r)[1:] for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(table, "host string, path string, verdict string")).collect()}
+    lowered = [("".join(c.lower() if c.isascii() else c for c in h), p, v) for h, p, v in table]
+    assert got == {i: brute_url(u, lowered) for i, u in rows}
+    assert [i for i in got if got[i][3] == "block"] == [2, 3, 6]
+
+
 # mixing ----------------------------------------------------------------------------------------
 
 
@@ -147,6 +156,18 @@ def test_mixing(spark, make_docs):
     assert [r.taken for r in mixing.mix_sources(make_docs([(1, None), (2, " ")])).collect()] == [0, 0]
 
 
+def test_slices_and_null_ids(spark, make_docs, monkeypatch):
+    rng = random.Random(9)
+    rows = [(None if i % 3 else i, f"t{i} " + "w " * rng.randrange(0, 40), "ab"[i % 2]) for i in range(3000)]
+    plain = sorted(map(str, mixing.mix_sources(make_docs(rows)).collect()))
+    monkeypatch.setattr(mixing, "SLICE", 20)
+    monkeypatch.setattr(mixing, "PARTS", 16)  # several runs of slices, and several steps towards the cut
+    assert sorted(map(str, mixing.mix_sources(make_docs(rows).repartition(3)).collect())) == plain
+    sums = spark.createDataFrame([(1, s, 10 + s) for s in range(100)] + [(2, 40, 5), (2, 99, 7)], "rank int, slice long, words long")
+    got = {(r["rank"], r["slice"]): r["start"] for r in mixing.slice_starts(sums).collect()}
+    assert got == {(1, s): sum(10 + k for k in range(s)) for s in range(100)} | {(2, 40): 0, (2, 99): 5}
+
+
 # quality rules ---------------------------------------------------------------------------------
 
 
@@ -180,3 +201,29 @@ def test_rules(spark, make_docs):
     assert rules.quality_rules(make_docs([])).count() == 0
 
 
+def test_other_rule_tables(spark, make_docs):
+    rows = [(1, "the a b c"), (2, "the the the x"), (3, "a | b | c"), (4, None)]
+    got = {r.doc_id: r for r in rules.quality_rules(make_docs(rows), base=[("pipe_ratio", ">", 0.3), ("n_words", "<", 1)], table_=[("n_words", ">", 4)]).collect()}
+    assert [got[i].base_failed for i in (1, 2, 3, 4)] == [False, False, True, True] and got[3].failed == ["pipe_ratio > 0.3", "n_words > 4"]
+    edge = " ".join(["w1 w2"] * 0 + [f"v{i}" for i in range(199)] + ["the"])  # one stop word in 200: just at the threshold
+    under = edge + " " + " ".join(f"u{i}" for i in range(5))
+    got = {r.doc_id: r.failed for r in rules.quality_rules(make_docs([(1, edge), (2, under)])).collect()}
+    assert got[1] == [] and got[2] == ["long_stop_ratio < 0.005"]
+
+
+# SQL and registered queries --------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_against_its_sql(spark, name):
+    import duckdb
+
+    folder = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for t in ("documents", "pages", "conversations", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    want = con.execute(queries.SQL[name])
+    names = [c[0] for c in want.description]
+    got = queries.QUERIES[name](spark, folder)
+    assert sorted(got.columns) == sorted(names)
+    assert Counter(map(tuple, got.select(names).collect())) == Counter(want.fetchall())

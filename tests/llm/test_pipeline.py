@@ -94,3 +94,34 @@ def test_packing(outputs):
 def test_run(spark, outputs):
     assert C.run(spark, SF).count() > 0
     assert quality.PRIOR == 0.5
+
+
+CLASH = [(1, None, None), (1, "", "s"), (None, "near copy " + "of these words here " * 3, "t"), (None, "near copy " + "of these words here " * 3, None), (5, "one two three four five six seven", "s"), (5, "one two three four five six seven", "s"),
+         (6, "one two three four five six seven", "s"), (7, "a", None), (8, "long words " * 30000, "s"), (9, 'password = "abcDEF123456" and so on', "t")]
+
+
+def test_stages_on_odd_rows(spark, make_docs):
+    docs = make_docs(CLASH)
+    kept = C.quality(spark, docs, SF)
+    assert kept.columns == C.COLUMNS and set(kept.collect()) <= set(docs.select(C.COLUMNS).collect())
+    left = [(r.doc_id, r.text) for r in C.dedup(spark, docs, SF).collect()]
+    assert sorted(left, key=str) == sorted([(1, None), (1, ""), (None, CLASH[2][1]), (5, CLASH[4][1]), (7, "a"), (8, CLASH[8][1]), (9, CLASH[9][1])], key=str)
+    clean = C.secrets(spark, docs, SF).collect()
+    assert len(clean) == len(CLASH) and [r.text for r in clean if r.doc_id == 9] == ['[secret]" and so on'] and sum(r.text is None for r in clean) == 1
+    pieces = C.packing(spark, docs, SF).collect()
+    assert sum(r.start == 0 for r in pieces) == len(CLASH)
+
+
+@pytest.mark.parametrize("stage", [s for _, s in C.STAGES])
+def test_stages_on_empty_tables(spark, make_docs, stage):
+    assert stage(spark, make_docs([]), SF).count() == 0
+
+
+def test_quality_judges_rows_not_ids(spark, make_docs):
+    rows = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    once = {(r.doc_id, r.text) for r in C.quality(spark, make_docs(rows), SF).collect()}
+    bad, source = next((t, s) for i, t, s in rows if (i, t) not in once)
+    labelled = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    good = next(i for i, _ in once if i not in labelled)
+    got = [(r.doc_id, r.text) for r in C.quality(spark, make_docs([*rows, (good, bad, source)]), SF).collect()]
+    assert any(i == good for i, _ in got) and (good, bad) not in got
