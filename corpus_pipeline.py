@@ -20,35 +20,60 @@ from tidewright.llm.secrets import scan_secrets
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _without(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is not one of those judged with ``kept`` false; null ids stay."""
-    return docs.join(judged.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_anti").select(COLUMNS)
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
-    return _without(docs, classify(docs, table(spark, sf_dir, "labels")))
+    """Rows that the quality classifier keeps, each judged for itself.
+
+    A null or empty text is judged as an empty one; texts are judged whole; null and repeated ids, equal rows
+    and null sources are rows like all others; columns beyond those of documents go; no rows give none.
+    """
+    judged = classify(docs, table(spark, sf_dir, "labels"), carry=("text", "lang", "source", "n_chars"))
+    return judged.where("kept").select("doc_id", "carried.*").select(COLUMNS)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies (five-word shingles, 0.8)."""
-    return _without(docs, near_duplicates(docs, width=5, percent=80))
+    """One row of each group of near copies (five-word shingles, 0.8): that with the smallest id, of equal ids the first.
+
+    Rows are told apart by a number of their own, so copies with null or equal ids are found as well; null ids
+    come last in a group. Texts without words link with nothing and stay; long texts are compared whole; no
+    rows give none.
+    """
+    numbered = materialize(docs.select(COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    groups = near_duplicates(numbered, id_col="row", width=5, percent=80).where("component_id IS NOT NULL").select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
+    groups = materialize(groups, "groups")
+    ids = numbered.select("row", "doc_id")
+    several = groups.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+    members = groups.join(several, "component").join(ids, "row")
+    first = members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    gone = members.join(first, "component").where("row <> first.row").select("row")
+    return numbered.join(gone, "row", "left_anti").select(COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret in their texts replaced."""
+    """All rows, with every secret in their texts replaced.
+
+    A null text stays null, with no characters; null and repeated ids and equal rows stay; long texts are
+    scanned whole; overlapping findings are replaced by one mark; no rows give none.
+    """
     out = scan_secrets(docs, with_text=True, carry=("lang", "source"))
     return out.select("doc_id", F.col("redacted").alias("text"), "lang", "source", F.coalesce(F.length("redacted"), F.lit(0)).cast("long").alias("n_chars"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the mix takes, each as often as it takes that row; null and repeated ids are rows like all others."""
+    """Rows that the mix takes, each as often as it takes that row; null and repeated ids are rows like all others.
+
+    Null and empty texts have no words and are not taken; null sources are a source, the last; ties and equal
+    rows are queued one after the other; no rows give none.
+    """
     mixed = mix_sources(docs, carry=("text", "lang", "n_chars")).where("taken > 0")
     return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int")))).select(COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 2,048 token ids."""
+    """Pieces of documents in sequences of at most 2,048 token ids.
+
+    A null or empty text is its end id alone; long texts are cut into full windows and a rest; rows with null or
+    repeated ids, and equal rows, are packed each for itself; no rows give none.
+    """
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
