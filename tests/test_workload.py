@@ -20,7 +20,7 @@ def test_produce_is_seeded():
 
 
 def test_validate_against_duckdb(spark, tmp_path):
-    tables = register_folder(spark, SF, ["customer", "orders", "lineitem", "nation", "region", "supplier"])
+    tables = register_folder(spark, SF, ["customer", "orders", "lineitem", "nation", "region", "supplier", "part"])
     con = duckdb.connect()
     for t in tables:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")

@@ -19,7 +19,6 @@ def structure(sql: str) -> str | None:
     key = T.normalize(sql)
     if key is None:
         return None
-    key = re.sub(r"\(\s*\?(?:\s*,\s*\?)+\s*\)", "( ? )", key)
     alias = {m[2]: m[1] for m in re.finditer(r"(?:from|join|,) (\w+) (?:as )?(\w+)(?= (?:where|on|,|join|inner|left|group|order|limit)|$)", key) if m[2] not in ("where", "on", "join", "inner", "left", "group", "order", "limit", "as")}
     for a, t in alias.items():
         key = re.sub(rf"\b{t} (?:as )?{a}\b", t, key)
