@@ -6,6 +6,7 @@ counts of equal rows.
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections import Counter, defaultdict
 from decimal import Decimal
@@ -15,8 +16,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TOLERANCE = 1e-6
-#: Groups up to this size are matched exactly; larger ones in sorted order.
-EXACT_GROUP = 64
 
 
 def cells_equal(a: object, b: object, tolerance: float = TOLERANCE) -> bool:
@@ -50,22 +49,44 @@ def _split(row: tuple, floats: set[int]) -> tuple[tuple, tuple]:
 
 
 def _match(left: list[tuple], right: list[tuple], tolerance: float) -> int:
-    """How many rows of left can be paired with close rows of right, each used once."""
-    if len(left) > EXACT_GROUP or len(right) > EXACT_GROUP:
-        key = lambda r: tuple((math.isnan(v), 0.0 if math.isnan(v) else v) for v in r)
-        return sum(rows_equal(a, b, tolerance) for a, b in zip(sorted(left, key=key), sorted(right, key=key), strict=False))
-    partner: dict[int, int] = {}
-
-    def augment(i: int, seen: set[int]) -> bool:
-        for j, b in enumerate(right):
-            if j not in seen and rows_equal(left[i], b, tolerance):
-                seen.add(j)
-                if j not in partner or augment(partner[j], seen):
-                    partner[j] = i
-                    return True
-        return False
+    """How many rows of left can be paired with close rows of right, each used once: a largest matching.
 
-    return sum(augment(i, set()) for i in range(len(left)))
+    Sorted rows mostly pair in order. Those that do not are matched by augmenting paths over the rows
+    whose first number is near, whatever the size of the groups.
+    """
+    key = lambda r: tuple((math.isnan(v), 0.0 if math.isnan(v) else v) for v in r)
+    left, right = sorted(left, key=key), sorted(right, key=key)
+    paired = sum(rows_equal(a, b, tolerance) for a, b in zip(left, right, strict=False))
+    if paired == min(len(left), len(right)) or not left[0]:
+        return paired
+    heads = [math.inf if math.isnan(r[0]) else r[0] for r in right]
+
+    def near(i: int) -> list[int]:
+        v = math.inf if math.isnan(left[i][0]) else left[i][0]
+        room = 0.0 if math.isinf(v) else 2 * tolerance * max(1.0, abs(v))
+        return [j for j in range(bisect.bisect_left(heads, v - room), bisect.bisect_right(heads, v + room)) if rows_equal(left[i], right[j], tolerance)]
+
+    partner: dict[int, int] = {}  # of rows of right
+    for i in range(len(left)):
+        came, todo, seen, end = {}, [i], set(), None
+        while todo and end is None:
+            k = todo.pop()
+            for j in near(k):
+                if j not in seen:
+                    seen.add(j)
+                    came[j] = k
+                    if j not in partner:
+                        end = j
+                        break
+                    todo.append(partner[j])
+        while end is not None:  # turn the path over
+            k = came[end]
+            before = next((j for j, x in partner.items() if x == k), None)
+            partner[end] = k
+            if k == i:
+                break
+            end = before
+    return len(partner)
 
 
 def _groups(rows: list[tuple], floats: set[int]) -> dict[tuple, list[tuple]]:
@@ -148,11 +169,12 @@ def differences(got: pa.Table, want: pa.Table, ordered: bool = False, keys: list
     return [*out[:limit], f"{len(out)} differences"]
 
 
-def frames_differ(a: DataFrame, b: DataFrame, digits: int = 6) -> DataFrame:
-    """Rows that one frame has more often than the other, with both counts. Floats are rounded to ``digits``.
+def frames_differ(a: DataFrame, b: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """Rows that one frame has more often than the other, with both counts; floats agree within the tolerance.
 
-    One aggregation over both sides together: rows of each side are counted on the map side, so equal
-    rows, however many, are shuffled once per task.
+    Equal rows cancel in one aggregation over both sides, counted on the map side, so equal rows,
+    however many, are shuffled once per task. What is left over and has floats is put in order on each
+    side, per value of the other columns, and compared place by place.
     """
     at = align(a.columns, b.columns)
     if at is None:
@@ -161,9 +183,28 @@ def frames_differ(a: DataFrame, b: DataFrame, digits: int = 6) -> DataFrame:
     sides = []
     for df, order, side in ((a, range(len(a.columns)), "a"), (b, at, "b")):
         renamed = df.toDF(*[f"x{i}" for i in range(len(df.columns))])
-        cols = [F.round(f"x{i}", digits) if renamed.dtypes[i][1] in ("double", "float") else F.col(f"x{i}") for i in order]
-        sides.append(renamed.select(*[c.alias(n) for c, n in zip(cols, names, strict=True)], F.lit(int(side == "a")).alias("na"), F.lit(int(side == "b")).alias("nb")))
-    out = sides[0].unionAll(sides[1]).groupBy(names).agg(F.sum("na").alias("in_a"), F.sum("nb").alias("in_b")).where("in_a <> in_b")
+        sides.append(renamed.select(*[F.col(f"x{i}").alias(n) for i, n in zip(order, names, strict=True)], F.lit(int(side == "a")).alias("na"), F.lit(int(side == "b")).alias("nb")))
+    both = sides[0].unionAll(sides[1])
+    out = both.groupBy(names).agg(F.sum("na").alias("in_a"), F.sum("nb").alias("in_b")).where("in_a <> in_b")
+    floats = [n for n, k in both.dtypes if k in ("double", "float")]
+    if floats:
+        exact = [n for n in names if n not in floats]
+        extra = out.withColumn("side", F.col("in_a") > F.col("in_b")).withColumn("unit", F.explode(F.sequence(F.lit(1), F.abs(F.col("in_a") - F.col("in_b")))))
+        place = F.row_number().over(Window.partitionBy(*exact, "side").orderBy(*floats, "unit"))
+        extra = extra.withColumn("place", place)
+        left, right = extra.where("side").drop("unit"), extra.where("NOT side").drop("unit").toDF(*[f"{n}_" for n in extra.drop("unit").columns])
+        same = F.lit(True)
+        for n in [*exact, "place"]:
+            same = same & F.col(n).eqNullSafe(F.col(f"{n}_"))
+        room = lambda x, y: F.lit(tolerance) * F.greatest(F.lit(1.0), F.abs(x), F.abs(y))
+        close = F.lit(True)
+        for n in floats:
+            x, y = F.col(n), F.col(f"{n}_")
+            close = close & F.coalesce(x.eqNullSafe(y) | (F.abs(x - y) <= room(x, y)), F.lit(False))
+        met = left.join(right, same, "full").where(~F.coalesce(close & F.col("in_a").isNotNull() & F.col("in_a_").isNotNull(), F.lit(False)))
+        old = [*names, "in_a", "in_b"]
+        rows = F.array(F.when(F.col("in_a").isNotNull(), F.struct(*old)), F.when(F.col("in_a_").isNotNull(), F.struct(*[F.col(f"{n}_").alias(n) for n in old])))
+        out = met.select(F.explode(F.array_compact(rows)).alias("r")).select("r.*").distinct()
     return out.toDF(*a.columns, "in_a", "in_b")
 
 
