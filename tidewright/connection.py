@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import time
 from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidewright.operators.analysis import summarize
 from tidewright.plans import text as T
@@ -23,31 +25,49 @@ class NoResultError(RuntimeError):
 
 
 class Result:
-    """One answer as an Arrow table, with a row cursor on it."""
+    """One answer: an Arrow table, or a frame whose rows come partition by partition as they are fetched.
 
-    def __init__(self, table: pa.Table, seconds: float = 0.0):
-        self.table, self.seconds, self._at, self._rows = table, seconds, 0, None
+    ``fetchone``, ``fetchmany`` and iteration hold a partition of a frame at a time; only what asks for the
+    whole answer (``table``, ``df``, ``arrow`` and the like) brings all of it to the driver.
+    """
+
+    def __init__(self, answer: pa.Table | DataFrame, seconds: float = 0.0):
+        self._table = answer if isinstance(answer, pa.Table) else None
+        self._frame = answer if self._table is None else None
+        self.seconds, self._rows = seconds, None
+
+    @property
+    def table(self) -> pa.Table:
+        if self._table is None:
+            self._table = self._frame.toArrow()
+        return self._table
+
+    @property
+    def schema(self) -> pa.Schema:
+        return to_arrow_schema(self._frame.schema) if self._table is None else self._table.schema
 
     @property
     def description(self) -> list[tuple]:
-        return [(f.name, str(f.type), None, None, None, None, f.nullable) for f in self.table.schema]
+        return [(f.name, str(f.type), None, None, None, None, f.nullable) for f in self.schema]
+
+    @staticmethod
+    def _tuples(batches) -> Iterator[tuple]:
+        for b in batches:
+            yield from zip(*(c.to_pylist() for c in b.columns), strict=True) if b.num_columns else ()
 
-    def _all(self) -> list[tuple]:
+    def _cursor(self) -> Iterator[tuple]:
         if self._rows is None:
-            self._rows = list(zip(*(c.to_pylist() for c in self.table.columns), strict=True)) if self.table.num_columns else []
+            self._rows = self._tuples(self._table.to_batches()) if self._table is not None else map(tuple, self._frame.toLocalIterator(prefetchPartitions=True))
         return self._rows
 
     def fetchone(self) -> tuple | None:
-        got = self.fetchmany(1)
-        return got[0] if got else None
+        return next(self._cursor(), None)
 
     def fetchmany(self, size: int = 1) -> list[tuple]:
-        out = self._all()[self._at : self._at + size]
-        self._at += len(out)
-        return out
+        return list(itertools.islice(self._cursor(), size))
 
     def fetchall(self) -> list[tuple]:
-        return self.fetchmany(self.table.num_rows)
+        return list(self._cursor())
 
     def __iter__(self) -> Iterator[tuple]:
         while (row := self.fetchone()) is not None:
@@ -64,12 +84,18 @@ class Result:
     def df(self):
         return self.table.to_pandas()
 
+    def pl(self):
+        """The answer as a Polars frame, where Polars is installed."""
+        import polars
+
+        return polars.from_arrow(self.table)
+
     def fetchnumpy(self) -> dict:
         return {n: c.to_numpy(zero_copy_only=False) for n, c in zip(self.table.column_names, self.table.columns, strict=True)}
 
     def show(self, rows: int = 20, width: int = 40) -> str:
         cut = lambda v: s if len(s := "NULL" if v is None else str(v)) <= width else s[: width - 1] + "…"
-        body = [[cut(v) for v in r] for r in self._all()[:rows]]
+        body = [[cut(v) for v in r] for r in self._tuples(self.table.slice(0, rows).to_batches())]
         heads = [cut(n) for n in self.table.column_names]
         wide = [max(map(len, c)) for c in zip(heads, *body, strict=True)]
         line = lambda cells: " | ".join(c.ljust(w) for c, w in zip(cells, wide, strict=True))
@@ -104,7 +130,7 @@ class Connection:
             if table is None:
                 for part in T.statements(sql)[:-1]:
                     self.router.plain(part)
-                table = self.router.plain(T.statements(sql)[-1], parameters).toArrow()
+                table = self.router.plain(T.statements(sql)[-1], parameters)
         self.result = Result(table, time.perf_counter() - began)
         return self
 
@@ -112,7 +138,7 @@ class Connection:
         """Run once for each row of parameters, never routed; the last answer stays."""
         self._gate(sql)
         for r in rows:
-            self.result = Result(self.router.plain(sql, r).toArrow())
+            self.result = Result(self.router.plain(sql, r))
         return self
 
     def sql(self, sql: str, parameters=None) -> DataFrame:
@@ -158,7 +184,7 @@ class Connection:
         pc.write_csv(self._need().table, path)
 
     def __getattr__(self, name: str):
-        if name.startswith("fetch") or name in ("df", "arrow", "to_arrow_table", "description", "show"):
+        if name.startswith("fetch") or name in ("df", "pl", "arrow", "to_arrow_table", "description", "show"):
             return getattr(self._need(), name)
         raise AttributeError(name)
 

@@ -8,6 +8,7 @@ answer, and repeated failures put the template aside.
 
 from __future__ import annotations
 
+import fcntl
 import hashlib
 import json
 import os
@@ -370,7 +371,7 @@ class Router:
         limit, offset = T.limit_offset(sql)
         if diffs and limit is not None and not parameters and (keys or not ordered):
             n = limit + offset
-            for _ in range(10):  # ties at the edge of the limit: widen until the last tie is whole
+            while True:  # ties at the edge of the limit: widen until the last tie is whole, at the latest at the last row
                 n *= 2
                 more = self.plain(T.widened(sql, n)).toArrow()
                 if more.num_rows < n or keys and [more.column(k)[n - 1] for k in keys] != [want.column(k)[want.num_rows - 1] for k in keys]:
@@ -393,7 +394,8 @@ class Router:
 
 # manifests -------------------------------------------------------------------------------------
 
-VERSION = 1
+#: Manifest versions that can be read; templates of version 1 have no output types.
+VERSION = 2
 
 
 def manifest(templates: list[Template]) -> dict:
@@ -402,22 +404,26 @@ def manifest(templates: list[Template]) -> dict:
     return {"manifest": VERSION, "engine": digest, "templates": body}
 
 
-def publish(folder: str | Path, templates: list[Template], receipts: Mapping[str, int] | None = None) -> Path:
-    """Write a manifest under its content's name, in one step; older ones go. Templates need a validation receipt if any are given."""
-    if receipts is not None:
-        bad = [t.template_id for t in templates if receipts.get(t.template_id, 0) < 1]
-        if bad:
-            raise UnsupportedError(f"not validated: {bad}")
+def publish(folder: str | Path, templates: list[Template], receipts: Mapping[str, int]) -> Path:
+    """Write a manifest under its content's name, in one step and under a lock; older ones go.
+
+    Every template needs a receipt: the number of instances that ``validate`` found equal.
+    """
+    bad = [t.template_id for t in templates if receipts.get(t.template_id, 0) < 1]
+    if bad:
+        raise UnsupportedError(f"not validated: {bad}")
     folder = Path(folder)
     folder.mkdir(parents=True, exist_ok=True)
     m = manifest(templates)
     to = folder / f"{m['engine']}.json"
-    part = folder / f".{m['engine']}.{os.getpid()}.partial"
-    part.write_text(json.dumps(m, indent=1))
-    part.replace(to)
-    for old in folder.glob("*.json"):
-        if old != to:
-            old.unlink()
+    with (folder / ".lock").open("w") as lock:
+        fcntl.flock(lock, fcntl.LOCK_EX)
+        part = folder / f".{m['engine']}.{os.getpid()}.partial"
+        part.write_text(json.dumps(m, indent=1))
+        part.replace(to)
+        for old in folder.glob("*.json"):
+            if old != to:
+                old.unlink()
     return to
 
 
