@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str], columns: list[str], bucket: int = 0) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str], columns: list[str]) -> DataFrame:
     """Each left row with the last right row of its ``by`` group at or before ``on``; null columns if none.
 
     Both sides are put in one order per group, and the last right row seen is carried on: one shuffle,

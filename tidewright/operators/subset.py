@@ -133,6 +133,12 @@ def plan_subset(info: Mapping[str, dict], edges: list[Edge], fraction: float, sm
     return Plan(anchor, sorted(info, key=lambda t: (depth.get(t, len(info)), t)), whole, fraction, edges)
 
 
+def bucket(columns: Iterable[str]):
+    """0 to 999 from the md5 of the columns' texts, so that other engines can draw the same sample."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % MODULUS
+
+
 def subset(frames: Mapping[str, DataFrame], plan: Plan, keys: Mapping[str, list[str]] | None = None) -> dict[str, DataFrame]:
     """The kept rows of every table.
 
@@ -148,7 +154,7 @@ def subset(frames: Mapping[str, DataFrame], plan: Plan, keys: Mapping[str, list[
             continue
         if t == plan.anchor:
             by = (keys or {}).get(t) or sorted({c for e in plan.edges if t in (e.left, e.right) for c, _ in e.turned(t)[1]}) or df.columns
-            out[t] = df.where(F.pmod(F.xxhash64(*by), F.lit(MODULUS)) < round(plan.fraction * MODULUS))
+            out[t] = df.where(bucket(by) < round(plan.fraction * MODULUS))
             continue
         near = [e.turned(t) for e in plan.edges if t in (e.left, e.right)]
         near = [(o, pairs) for o, pairs in near if o in out and o not in plan.whole]
@@ -169,6 +175,15 @@ def subset(frames: Mapping[str, DataFrame], plan: Plan, keys: Mapping[str, list[
     return out
 
 
+def kept_shares(frames: Mapping[str, DataFrame], kept: Mapping[str, int]) -> dict[str, tuple[int, int, float]]:
+    """(kept rows, all rows, percentage) of each table, as a log of a subset would state them."""
+    out = {}
+    for t, n in kept.items():
+        rows = frames[t].count()
+        out[t] = (n, rows, round(100 * n / rows, 2) if rows else 100.0)
+    return out
+
+
 def write_subset(frames: Mapping[str, DataFrame], folder: str) -> dict[str, int]:
     """Write the tables as parquet folders; returns the kept rows of each."""
     spark = next(iter(frames.values())).sparkSession
@@ -178,15 +193,22 @@ def write_subset(frames: Mapping[str, DataFrame], folder: str) -> dict[str, int]
 
 
 def write_atomic(frames: Mapping[str, DataFrame], folder: str) -> None:
-    """Write to ``<folder>.partial`` and rename, so that a reader never sees half a subset. Local and HDFS-like stores."""
+    """Write to ``<folder>.partial`` and rename, so that a reader never sees half a subset; the old one goes last. Local and HDFS-like stores."""
     spark = next(iter(frames.values())).sparkSession
     write_subset(frames, f"{folder}.partial")
     jvm = spark.sparkContext._jvm
     src, to = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{folder}.partial", folder))
     fs = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(to, True)
+    old = jvm.org.apache.hadoop.fs.Path(f"{folder}.old")
+    fs.delete(old, True)
+    had = fs.exists(to)
+    if had and not fs.rename(to, old):
+        raise OSError(f"cannot set {folder} aside")
     if not fs.rename(src, to):
+        if had:
+            fs.rename(old, to)
         raise OSError(f"cannot rename to {folder}")
+    fs.delete(old, True)
 
 
 def snapshot(frames: Mapping[str, DataFrame], folder: str) -> dict[str, DataFrame]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,9 @@ from tidewright.connection import Connection
 from tidewright.functions.registry import register_functions
 from tidewright.operators import analysis, asof, compare, params, subset
 from tidewright.plans import dialect, router
-from tidewright.sources.parquet import read_table, register_folder, schema_differences
+from tidewright.plans.text import tables_in
+from tidewright.sources import text
+from tidewright.sources.parquet import read_table, register_folder, schema_differences, schema_of
 from tidewright.streaming import events as streams
 
 TABLES = "region nation customer supplier part orders lineitem".split()
@@ -31,10 +35,15 @@ def _kept(spark: SparkSession, sf_dir: str, fraction: float) -> dict[str, DataFr
 
 
 def subset_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of a 10 % subset without a partner in the table that they point to: none, for each edge towards the anchor."""
+    """What a 10 % subset keeps of each table: rows, sum of keys, and rows of the anchor's side whose partner is gone (none)."""
     kept = _kept(spark, sf_dir, 0.1)
-    anchored = kept["orders"].join(kept["lineitem"].select(F.col("l_orderkey").alias("k")), F.col("o_orderkey") == F.col("k"), "left_anti")
-    return anchored.agg(F.count("*").alias("orders_without_lines"))
+    keys = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "lineitem": "l_orderkey"}
+    child = {e.right if e.left == t else e.left: e for t in ("lineitem",) for e in EDGES if t in (e.left, e.right)}
+    out = []
+    for t, k in keys.items():
+        gone = subset.dangling(kept, subset.Edge("lineitem", t, tuple((a, b) for b, a in child[t].turned(t)[1]))) if t in child else 0
+        out.append(kept[t].agg(F.lit(t).alias("table_name"), F.count("*").alias("n"), F.coalesce(F.sum(k), F.lit(0)).cast("long").alias("keys"), F.lit(gone).cast("long").alias("dangling")))
+    return functools.reduce(DataFrame.unionAll, out)
 
 
 def subset_full(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,10 +77,11 @@ def routed_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(con.result.table)
 
 
-def dialect_query(text: str):
+def dialect_query(sql: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        register_folder(spark, sf_dir, [*TABLES, "events"])
-        return spark.sql(dialect.to_spark(text))
+        named = set(tables_in(sql))
+        register_folder(spark, sf_dir, [t for t in [*TABLES, "events"] if t in named])
+        return spark.sql(dialect.to_spark(sql))
 
     return run
 
@@ -111,8 +121,10 @@ def log_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def schema_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = schema_differences(spark, [sf_dir, sf_dir], TABLES)
-    return spark.range(1).select(F.lit(len(found)).cast("long").alias("differences"))
+    """Where a folder's tables differ from a declared schema that has another type, a column more and a column less."""
+    declared = text.parse_ddl("CREATE TABLE region (r_regionkey bigint, r_name varchar(25)); CREATE TABLE nation (n_nationkey int, n_name text, n_comment text)")
+    found = schema_differences(schema_of(spark, sf_dir, ["region", "nation"]), {t: dict(cols) for t, cols in declared.items()})
+    return spark.createDataFrame(found, "table_name string, column_name string, here string, declared string")
 
 
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +158,15 @@ QUERIES = {
     "dialect_star_replace": dialect_query("SELECT * REPLACE (lower(r_name) AS r_name) FROM region"),
 }
 SQL = {
-    "subset_closure": "SELECT CAST(0 AS BIGINT) AS orders_without_lines",
+    "subset_closure": """WITH li AS (SELECT * FROM lineitem WHERE CAST('0x' || substr(md5(CAST(l_orderkey AS VARCHAR)), 1, 8) AS BIGINT) % 1000 < 100),
+o AS (SELECT * FROM orders WHERE (SELECT count(*) FROM orders) <= 200 OR o_orderkey IN (SELECT l_orderkey FROM li)),
+p AS (SELECT * FROM part WHERE (SELECT count(*) FROM part) <= 200 OR p_partkey IN (SELECT l_partkey FROM li)),
+s AS (SELECT * FROM supplier WHERE (SELECT count(*) FROM supplier) <= 200 OR s_suppkey IN (SELECT l_suppkey FROM li)),
+c AS (SELECT * FROM customer WHERE (SELECT count(*) FROM customer) <= 200 OR c_custkey IN (SELECT o_custkey FROM o)),
+n AS (SELECT 'region' AS table_name, count(*) AS n, sum(r_regionkey) AS keys FROM region UNION ALL SELECT 'nation', count(*), sum(n_nationkey) FROM nation UNION ALL SELECT 'customer', count(*), sum(c_custkey) FROM c
+  UNION ALL SELECT 'supplier', count(*), sum(s_suppkey) FROM s UNION ALL SELECT 'part', count(*), sum(p_partkey) FROM p UNION ALL SELECT 'orders', count(*), sum(o_orderkey) FROM o UNION ALL SELECT 'lineitem', count(*), sum(l_orderkey) FROM li)
+SELECT table_name, n, CAST(keys AS BIGINT) AS keys, CAST(0 AS BIGINT) AS dangling FROM n""",
+    "log_shapes": "SELECT CAST(n AS BIGINT) AS runs, CAST(n AS BIGINT) AS distinct_queries, CAST(n * n AS BIGINT) AS score FROM (SELECT CASE range WHEN 18 THEN 4 WHEN 21 THEN 3 ELSE 5 END AS n FROM range(1, 23)) t",
     "subset_full": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in TABLES),
     "scale_up": "SELECT c_mktsegment, 3 * count(*) AS n, 3 * count(DISTINCT o_orderkey) AS n_orders FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment",
     "routed_query": "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_totalprice > 100000 AND o_orderstatus = 'F' GROUP BY o_orderpriority",
@@ -155,7 +175,7 @@ SELECT l.event_id, r.before_id FROM (SELECT event_id, user_id, ts FROM events, k
     "range_join": "SELECT band, count(*) AS n FROM part JOIN (SELECT range AS band, range * 5 - 2 AS lo, range * 5 + 4 AS hi FROM range(10)) b ON p_size BETWEEN lo AND hi GROUP BY band",
     "result_diff": "SELECT n_nationkey, n_name, CAST(1 AS BIGINT) AS in_a, CAST(0 AS BIGINT) AS in_b FROM nation WHERE n_nationkey = 3 UNION ALL SELECT 3, 'CHANGED', 0, 1",
     "closed_top": "SELECT c_nationkey, n FROM (SELECT c_nationkey, count(*) AS n, rank() OVER (ORDER BY count(*) DESC) AS r FROM customer GROUP BY c_nationkey) t WHERE r <= 5",
-    "schema_check": "SELECT CAST(0 AS BIGINT) AS differences",
+    "schema_check": "SELECT * FROM (VALUES ('nation', 'n_comment', NULL, 'string'), ('nation', 'n_regionkey', 'int', NULL), ('region', 'r_regionkey', 'int', 'bigint')) AS d(table_name, column_name, here, declared)",
     "summarize": " UNION ALL ".join(f"SELECT '{c}' AS column_name, count({c}) AS count, count(*) - count({c}) AS nulls FROM customer" for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")),
     "stream_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS user_sum FROM events GROUP BY 1, 2",
     "session_windows": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events)

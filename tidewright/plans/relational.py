@@ -15,14 +15,14 @@ SHARED: dict[str, str] = {
     # scans, projections, filters
     "scan_region": "SELECT * FROM region",
     "project_arithmetic": "SELECT l_orderkey, l_linenumber, l_quantity * 2 + 1 AS twice, -l_quantity AS neg, l_quantity / 4 AS quarter FROM lineitem",
-    "filter_comparisons": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_totalprice > 1000 AND o_totalprice <= 400000 AND o_orderstatus <> 'O' AND o_orderdate >= DATE '1996-01-01' AND o_orderkey < 9000",
+    "filter_comparisons": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_totalprice > 1000 AND o_totalprice <= 400000 AND o_orderstatus <> 'O' AND o_orderdate >= DATE '1996-01-01' AND o_custkey < o_totalprice",
     "filter_between": "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity BETWEEN 10 AND 10 + 5",
-    "filter_in_list": "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_orderkey % 7 IN (1, 2, 3) GROUP BY o_orderpriority",
+    "filter_in_list": "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus IN ('F', 'P') AND extract(month FROM o_orderdate) IN (1, 2, 3) GROUP BY o_orderpriority",
     "filter_null_or_in": "SELECT c_custkey FROM (SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS seg FROM customer) t WHERE seg IN ('MACHINERY', 'AUTOMOBILE') OR seg IS NULL",
     "filter_like": "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%a%e%' AND p_type LIKE 'P%'",
     "filter_not_like": "SELECT o_orderkey FROM orders WHERE o_orderpriority NOT LIKE '%LOW%' AND o_orderpriority NOT LIKE '5%'",
     "filter_ilike": "SELECT c_custkey FROM customer WHERE c_name ILIKE 'CUSTOMER%1'",
-    "filter_is_null": "SELECT count(*) AS n, count(seg) AS n_seg FROM (SELECT nullif(c_mktsegment, 'BUILDING') AS seg FROM customer) t WHERE seg IS NOT NULL OR seg IS NULL",
+    "filter_is_null": "WITH t AS (SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS seg FROM customer) SELECT 'null' AS kind, count(*) AS n, sum(c_custkey) AS keys FROM t WHERE seg IS NULL UNION ALL SELECT 'not null', count(*), sum(c_custkey) FROM t WHERE seg IS NOT NULL",
     "filter_or_blocks": "SELECT cast(sum(" + REVENUE + ") AS double) AS revenue FROM lineitem, part WHERE (p_partkey = l_partkey AND p_size BETWEEN 1 AND 15 AND l_quantity >= 1 AND l_quantity <= 21) OR (p_partkey = l_partkey AND p_size BETWEEN 10 AND 30 AND l_quantity >= 10 AND l_quantity <= 40)",
     "filter_modulo": "SELECT event_id, user_id FROM events WHERE user_id % 10 = 3",
     "filter_date_window": "SELECT count(*) AS n FROM orders WHERE o_orderdate >= DATE '1996-01-01' AND o_orderdate < DATE '1996-01-01' + INTERVAL '3' MONTH",
@@ -34,6 +34,13 @@ SHARED: dict[str, str] = {
     "join_inner": "SELECT l_orderkey, cast(sum(" + REVENUE + ") AS double) AS revenue, o_orderdate FROM customer, orders, lineitem WHERE c_mktsegment = 'BUILDING' AND c_custkey = o_custkey AND l_orderkey = o_orderkey AND o_orderdate < DATE '1998-03-15' AND l_shipdate > DATE '1998-03-15' GROUP BY l_orderkey, o_orderdate",
     "join_snowflake": "SELECT n_name, cast(sum(" + REVENUE + ") AS double) AS revenue FROM customer, orders, lineitem, supplier, nation, region WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_suppkey = s_suppkey AND c_nationkey = s_nationkey AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND o_orderdate >= DATE '1996-01-01' AND o_orderdate < DATE '1997-01-01' GROUP BY n_name",
     "join_wide": "SELECT r1.r_name AS supp_region, r2.r_name AS cust_region, p_brand, count(*) AS n FROM part, supplier, lineitem, orders, customer, nation n1, nation n2, region r1, region r2 WHERE p_partkey = l_partkey AND s_suppkey = l_suppkey AND l_orderkey = o_orderkey AND o_custkey = c_custkey AND c_nationkey = n2.n_nationkey AND s_nationkey = n1.n_nationkey AND n1.n_regionkey = r1.r_regionkey AND n2.n_regionkey = r2.r_regionkey AND p_size > 25 GROUP BY r1.r_name, r2.r_name, p_brand",
+    "join_sixteen": """
+SELECT r1.r_name AS cust_region, r2.r_name AS supp_region, r3.r_name AS third, r4.r_name AS fourth, count(*) AS n, min(p2.p_name) AS part_name, max(n5.n_name) AS last_nation
+FROM lineitem, orders, customer, supplier s1, part p1, nation n1, nation n2, region r1, region r2, nation n3, region r3, nation n4, region r4, part p2, supplier s2, nation n5
+WHERE l_orderkey = o_orderkey AND o_custkey = c_custkey AND l_suppkey = s1.s_suppkey AND l_partkey = p1.p_partkey AND c_nationkey = n1.n_nationkey AND s1.s_nationkey = n2.n_nationkey
+  AND n1.n_regionkey = r1.r_regionkey AND n2.n_regionkey = r2.r_regionkey AND n3.n_nationkey = p1.p_size % 25 AND n3.n_regionkey = r3.r_regionkey AND n4.n_nationkey = l_linenumber + 10
+  AND n4.n_regionkey = r4.r_regionkey AND p2.p_partkey = l_suppkey AND s2.s_suppkey = p1.p_size AND s2.s_nationkey = n5.n_nationkey
+GROUP BY r1.r_name, r2.r_name, r3.r_name, r4.r_name""",
     "join_self_alias": "SELECT n1.n_name AS a, n2.n_name AS b FROM nation n1, nation n2 WHERE n1.n_regionkey = n2.n_regionkey AND n1.n_nationkey < n2.n_nationkey",
     "join_composite": "SELECT a.l_partkey, a.l_suppkey, count(*) AS pairs FROM lineitem a JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R') b ON a.l_partkey = b.l_partkey AND a.l_suppkey = b.l_suppkey GROUP BY a.l_partkey, a.l_suppkey",
     "join_transitive": "SELECT count(*) AS n FROM orders o, lineitem l, lineitem m WHERE o.o_orderkey = l.l_orderkey AND o.o_orderkey = m.l_orderkey AND l.l_orderkey = m.l_orderkey AND l.l_linenumber < m.l_linenumber",

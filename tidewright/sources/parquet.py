@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def list_tables(spark: SparkSession, folder: str) -> list[str]:
@@ -15,8 +16,21 @@ def list_tables(spark: SparkSession, folder: str) -> list[str]:
     return sorted(f.getPath().getName()[:-8] for f in found if f.getPath().getName().endswith(".parquet"))
 
 
+#: Schemas of files seen before, by application, path, change time and length: their footers need no second look.
+_SCHEMAS: dict[tuple, StructType] = {}
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A table of a folder. The schema of a single file is kept until the file changes; folders are looked at anew."""
+    path = f"{folder}/{name}.parquet"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    status = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at)
+    if status.isDirectory():
+        return spark.read.parquet(path)
+    key = (spark.sparkContext.applicationId, path, status.getModificationTime(), status.getLen())
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
 
 
 def register_folder(spark: SparkSession, folder: str, tables: Iterable[str] | None = None) -> list[str]:
@@ -44,12 +58,15 @@ def warm(spark: SparkSession, tables: Iterable[str]) -> int:
     return done
 
 
-def schema_differences(spark: SparkSession, folders: list[str], tables: Iterable[str]) -> list[str]:
-    """Columns whose types disagree between folders that should hold the same tables at other sizes."""
+def schema_of(spark: SparkSession, folder: str, tables: Iterable[str]) -> dict[str, dict[str, str]]:
+    """Column types of a folder's tables, by table and column."""
+    return {t: dict(read_table(spark, folder, t).dtypes) for t in tables}
+
+
+def schema_differences(one: Mapping[str, Mapping[str, str]], other: Mapping[str, Mapping[str, str]]) -> list[tuple[str, str, str | None, str | None]]:
+    """(table, column, type in one, type in the other) where two sets of tables disagree; None for a missing column."""
     out = []
-    for t in tables:
-        first = dict(read_table(spark, folders[0], t).dtypes)
-        for f in folders[1:]:
-            other = dict(read_table(spark, f, t).dtypes)
-            out += [f"{t}.{c}: {first.get(c)} in {folders[0]}, {other.get(c)} in {f}" for c in sorted(first.keys() | other.keys()) if first.get(c) != other.get(c)]
+    for t in sorted(one.keys() | other.keys()):
+        a, b = one.get(t, {}), other.get(t, {})
+        out += [(t, c, a.get(c), b.get(c)) for c in sorted(a.keys() | b.keys()) if a.get(c) != b.get(c)]
     return out
