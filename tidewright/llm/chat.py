@@ -38,8 +38,10 @@ def fold_events(events: DataFrame, conv: str, seq: str, role: str, text: str, ki
     (sequence, kind, text). What counts is the text of the last opening event (message, edit,
     regenerate) and the deltas after it; a message whose last opening event is a delete, and deltas
     without any opening event before them, yield nothing. The role is the message's own, or without a
-    message event that of the first opening event. One aggregation by message, combined on the map
-    side, so a message with very many deltas is shuffled as partial lists.
+    message event that of the first opening event. An event without a number that names a target comes
+    before the numbered ones; equal deltas all count; null texts and roles are empty; long texts are
+    whole; other columns are ignored; an empty log gives no rows. One aggregation by message, combined
+    on the map side, so a message with very many deltas is shuffled as partial lists.
     """
     number = F.coalesce(F.col(target), F.col(seq)) if target else F.col(seq)
     e = events.select(
@@ -55,7 +57,8 @@ def fold_events(events: DataFrame, conv: str, seq: str, role: str, text: str, ki
         F.array_sort(F.collect_list(F.when(F.col("kind") == "delta", F.struct("seq", "text")))).alias("deltas"))
     said = F.when((F.size("said") == 0) & F.col("changed").isNotNull(), F.array(F.col("changed").withField("role", F.col("first.role")))).otherwise(F.col("said"))
     messages = groups.withColumn("m", F.explode(said)).withColumn("last", F.greatest("m", "changed")).where("last.kind <> 'delete'")
-    after = F.filter("deltas", lambda d: d["seq"] >= F.col("last.seq"))
+    first = F.lit(-(1 << 63))
+    after = F.filter("deltas", lambda d: F.coalesce(d["seq"], first) >= F.coalesce(F.col("last.seq"), first))
     return messages.select("conv_id", F.col("msg").alias("seq"), F.col("m.role").alias("role"),
                            F.concat("last.text", F.array_join(F.transform(after, lambda d: d["text"]), "")).alias("text"))
 
