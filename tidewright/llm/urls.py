@@ -16,8 +16,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SHORT = 8
 #: Between host and path in what is hashed; a URL's host ends before it, so no other split of a rule looks alike.
 BETWEEN = "?"
-#: Rules are broadcast up to this many; more are joined by a shuffle.
-BROADCAST_RULES = 100_000
+#: Rules are broadcast up to so many, and so many characters; more are joined by a shuffle.
+BROADCAST_RULES, BROADCAST_CHARS = 100_000, 10_000_000
 #: (host, path, verdict)
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -45,7 +45,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     """
     r = rules.select(F.translate("host", UPPER, LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").where("host IS NOT NULL")
     shape = r.agg(
-        F.collect_set(F.size(F.split("host", r"\."))).alias("labels"), F.count("*").alias("n"),
+        F.collect_set(F.size(F.split("host", r"\."))).alias("labels"), F.count("*").alias("n"), F.coalesce(F.sum(F.length("host") + F.length("path")), F.lit(0)).alias("chars"),
         F.max(F.when(F.col("path").endswith("/"), F.size(F.split("path", "/")) - 1)).alias("depth"),
         F.collect_set(F.when(~F.col("path").endswith("/"), F.length("path"))).alias("lengths")).first()
     expr, tested = F.concat("host", "path"), F.concat("host", F.lit(BETWEEN), "path")
@@ -53,7 +53,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
                     expr.alias("rule"), F.col("verdict"))
     r = r.select(F.sha2(tested, 256).alias("digest"), best.alias("best")).groupBy("digest").agg(F.max("best").alias("best"))
     r = r.groupBy(F.substring("digest", 1, SHORT).alias("short")).agg(F.collect_list(F.struct("digest", "best")).alias("found"))
-    if shape["n"] <= BROADCAST_RULES:
+    if shape["n"] <= BROADCAST_RULES and shape["chars"] <= BROADCAST_CHARS:
         r = F.broadcast(r)
 
     labels, lengths, depth = sorted(shape["labels"]), sorted(shape["lengths"]), shape["depth"] or 0
