@@ -57,6 +57,45 @@ def test_chat_events_with_equal_and_null_numbers(spark):
     assert got == {1: [("user", "n1"), ("user", "n2"), ("assistant", "a"), ("assistant", "a"), ("user", "z"), ("assistant", "q+"), ("user", "p+")], 2: [("user", "again")], None: [("user", "u")]}
 
 
+def brute_fold(log):
+    """The messages of a log, event by event, as the docstring of the fold says."""
+    low = lambda v: -(1 << 63) if v is None else v
+    groups = defaultdict(list)
+    for c, seq, target, kind, role, text in log:
+        number = seq if target is None else target
+        kind = kind or "message"
+        own = kind == "message" and number == seq
+        groups[c, number, own and number is None].append((low(seq), kind, text or "", role or "", own))
+    out = defaultdict(list)
+    for (c, number, _), events in groups.items():
+        said = [e for e in events if e[4]]
+        changes = [e for e in events if not e[4] and e[1] != "delta"]
+        if not said and changes:
+            last = max(changes)
+            said = [(*last[:3], min((e[0], e[3]) for e in changes)[1], False)]
+        for m in said:
+            last = max([m[:4], *[e[:4] for e in changes]])
+            if last[1] != "delete":
+                out[c].append((low(number), m[3], last[2] + "".join(t for _, t in sorted((e[0], e[2]) for e in events if e[1] == "delta" and e[0] >= last[0]))))
+    return {c: [x[1:] for x in sorted(v)] for c, v in out.items()}
+
+
+def test_chat_events_against_brute_force(spark):
+    rng = random.Random(12)
+    log = []
+    for _ in range(1500):
+        kind = rng.choice(["message", None, "delta", "delta", "delta", "edit", "regenerate", "delete"])
+        seq = rng.choice([None, *range(25)])
+        target = None if kind in ("message", None) and rng.random() < 0.8 else rng.choice([None, *range(25)])
+        log.append((rng.choice([None, 1, 2, 3]), seq, target, kind, rng.choice(["user", "assistant", None]), rng.choice([None, "", "a", "b|", "<|c", "d" * 50])))
+    log += log[:200]  # repeated events
+    schema = "conv_id long, seq long, target long, kind string, role string, text string, said string, deltas int"
+    df = spark.createDataFrame([(*e, "clash", 1) for e in log], schema).repartition(5)
+    got = {r.conv_id: [(x.role, x.text) for x in r.t] for r in chat.format_chats(df, seq="seq", kind="kind", target="target").select("conv_id", chat.read_turns(F.col("formatted")).alias("t")).collect()}
+    assert got == brute_fold(log)
+    assert chat.format_chats(df.limit(0), seq="seq", kind="kind", target="target").count() == 0
+
+
 def test_chat_turns_as_events(spark, tmp_path, monkeypatch):
     df = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string").withColumn("kind", F.lit("message"))
     rows = lambda d: sorted(map(str, d.collect()))
@@ -92,7 +131,7 @@ MORE = [*urls.RULES, ("net", "/e", "allow"), ("example.net", "", "block"), ("www
 @pytest.mark.parametrize("table", [urls.RULES, MORE, []])
 @pytest.mark.parametrize("most", [100_000, 0])
 def test_url_rules(spark, table, most, monkeypatch):
-    monkeypatch.setattr(urls, "BROADCAST_RULES", most)
+    monkeypatch.setattr(urls, "BROADCAST_RULES" if len(table) != 4 else "BROADCAST_CHARS", most)
     rows = [(i, u) for i, u in enumerate(URLS)] + [(None, "http://a.net/"), (3, URLS[3]), (6, URLS[6]), (6, URLS[6])]
     pages = spark.createDataFrame([(*r, "h", "r") for r in rows], "page_id long, url string, host string, rule string")
     ruled = spark.createDataFrame(table, "host string, path string, verdict string")

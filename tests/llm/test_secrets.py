@@ -43,6 +43,20 @@ def test_network_on_held_out_findings():
     assert (p[y == 0] >= model.threshold).mean() <= 0.03
 
 
+def test_network_on_the_corpus():
+    """The network alone, trained on made-up findings, against the base findings of the documents as labels."""
+    model, found, flagged, free = S.default_model(), [], 0, 0
+    for t in pq.read_table("/root/testdata/sf0.1/documents.parquet")["text"].to_pylist():
+        base, seen = S.base_findings(t or ""), S.candidates(t or "")
+        if base or seen:
+            scored = [(a, b, model.probability(model.logits(np.stack(S.windows(t, a, b)))).max() >= model.threshold) for a, b in seen]
+            found += [any(hit for a, b, hit in scored if a < e and s < b) for s, _, e in base]
+            others = [hit for a, b, hit in scored if not any(a < e and s < b for s, _, e in base)]
+            flagged, free = flagged + sum(others), free + len(others)
+    assert len(found) > 200 and sum(found) >= 0.98 * len(found)
+    assert free > 1000 and flagged <= 0.01 * free
+
+
 def test_query_rows(spark, make_docs, tmp_path):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(50, None), (1, TEXTS[2]), (None, "token=abcdefg"), (60, "my bearer = " + "Zk9" * 10 + "x0q and more")]
     make_docs(rows).write.parquet(f"file://{tmp_path}/documents.parquet")

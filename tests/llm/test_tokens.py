@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
@@ -100,6 +101,87 @@ def test_sum_of_squares_picks_the_least_cost():
         list(p.add(0, np.zeros(n, "<u4").tobytes()))
 
 
+def plain_pack(docs, size):
+    """Windows of (doc, start, length), by the rule alone: every level tried, sums of squares added up anew each time."""
+    windows, out = [], []
+
+    def squares(fills):
+        return sum(fills.count(f) ** 2 for f in set(fills) if 0 < f < size)
+
+    def place(doc, start, n, may_open):
+        while n:
+            fills = [sum(p[2] for p in w) for w in windows]
+            options = []
+            for f in sorted(set(fills), reverse=True):
+                if f + n <= size:
+                    rest = list(fills)
+                    rest[rest.index(f)] = f + n
+                    options.append((squares(rest), 0, -f, f))
+            if may_open or not windows:
+                options.append((squares([*fills, n]), 1, 0, 0))
+            take, f = n, 0
+            if options:
+                f = min(options)[3]
+            else:
+                f = max(fills)
+                take = size - f
+            if f == 0:
+                windows.append([])
+                w = windows[-1]
+            else:
+                w = next(w for w in reversed(windows) if sum(p[2] for p in w) == f)
+                windows.remove(w)
+                windows.append(w)  # the one filled last is taken first
+            w.append((doc, start, take))
+            if f + take == size:
+                windows.remove(w)
+                out.append(w)
+            start, n = start + take, n - take
+
+    for doc, n in docs:
+        full = n // size
+        out.extend([(doc, i * size, size)] for i in range(full))
+        place(doc, full * size, n - full * size, True)
+    while len(windows) > 1:
+        low = min(sum(p[2] for p in w) for w in windows)
+        w = next(w for w in reversed(windows) if sum(p[2] for p in w) == low)
+        windows.remove(w)
+        for p in w:
+            place(*p, False)
+    rest = [p for w in windows for p in w]
+    left = sum(p[2] for p in rest)
+    while left:
+        goal, window = 1 << (left.bit_length() - 1), []
+        while goal:
+            doc, start, n = rest.pop(0)
+            k = min(n, goal)
+            window.append((doc, start, k))
+            if k < n:
+                rest.insert(0, (doc, start + k, n - k))
+            goal, left = goal - k, left - k
+        out.append(window)
+    return out
+
+
+@pytest.mark.parametrize("size, n", [(16, 60), (64, 150), (10, 1), (32, 0)])
+def test_layout_against_plain_packing(size, n):
+    rng = np.random.default_rng(size + n)
+    docs = [(i, int(k)) for i, k in enumerate(rng.integers(0, 2 * size, n))]
+    packer = packing.SumOfSquares(size)
+    got = [w for doc, k in docs for w in packer.add(doc, bytes(4 * k))] + list(packer.close())
+    assert sorted([(d, s, len(b) // 4) for d, s, b, _ in w] for w in got) == sorted(plain_pack(docs, size))
+
+
+def test_little_padding_at_any_size():
+    rng = np.random.default_rng(1)
+    for n in (3, 40, 1000):
+        packer = packing.SumOfSquares()
+        sizes = [int(k) for k in rng.lognormal(6, 1.2, n)]
+        windows = [w for i, k in enumerate(sizes) for w in packer.add(i, bytes(4 * k))] + list(packer.close())
+        fills = [sum(len(p[2]) // 4 for p in w) for w in windows]
+        assert sum(fills) == sum(sizes) and all(f == 2048 or f & (f - 1) == 0 for f in fills) and sum(f < 2048 for f in fills) <= 11
+
+
 @pytest.mark.parametrize("limit", [4, 6, 16])
 def test_code_lengths_are_best(limit):
     rng = np.random.default_rng(limit)
@@ -127,7 +209,9 @@ def test_blocks_round_trip(ids):
     assert huffman.Decoder(bits).decode(data, offsets, len(a)).tolist() == ids
 
 
-def test_token_file_round_trip(spark, make_docs):
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_token_file_round_trip(spark, make_docs, most, monkeypatch):
+    monkeypatch.setattr(huffman, "BROADCAST_PARTS", most)
     rows = [(7, "hello  world\n"), (3, None), (None, "no id"), (12, ""), (5, "word " * 40000), (5, "word"), (-2, "é😀 <|endoftext|>")]
     path = scratch_path(spark, "t")
     huffman.write_tokens(make_docs(rows).repartition(3), path, P.path("byte_bpe_50k.json"), end_id=2)
@@ -142,3 +226,28 @@ def test_token_file_round_trip(spark, make_docs):
     empty = scratch_path(spark, "t")
     huffman.write_tokens(make_docs([]), empty, P.path("byte_bpe_50k.json"), end_id=2)
     assert huffman.read_tokens(spark, empty).count() == 0
+
+
+def test_blocks_hold_whole_documents(monkeypatch):
+    monkeypatch.setattr(huffman, "BLOCK", 10)
+    sizes = [0, 3, 4, 5, 0, 40, 1, 9, 1, 0, 2]
+    rows = [(i, np.arange(k, dtype="<u2").tobytes()) for i, k in enumerate(sizes)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[a:b]]), pa.array([r[1] for r in rows[a:b]], pa.binary())], names=["doc_id", "ids"]) for a, b in ((0, 4), (4, 4), (4, 11))]
+    got = [(keys, n.tolist(), ids.tolist()) for keys, n, ids in huffman.blocks_of(iter([batches[0], batches[1], batches[2].slice(0, 3), batches[2].slice(3)]), "<u2")]
+    assert [k for keys, _, _ in got for k in keys] == list(range(11)) and [x for _, n, _ in got for x in n] == sizes
+    assert [x for _, _, ids in got for x in ids] == [x for k in sizes for x in range(k)] and all(len(ids) >= 10 for _, _, ids in got[:-1])
+
+
+def test_registered_queries(spark):
+    docs = sorted((r.doc_id, r.text or "") for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect())
+    got = {r.doc_id: r for r in huffman.op10_token_output(spark, "/root/testdata/sf0.001").collect()}
+    start = 0
+    for i, t in docs:
+        ids = plain("byte_bpe_50k.json", t) + [2]
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(np.asarray(ids, "<u4").tobytes()))
+        start += len(ids)
+    pieces = packing.op6_packing(spark, "/root/testdata/sf0.001").collect()
+    ids = {i: plain("word_bpe_49k.json", t) + [1] for i, t in docs}
+    assert sum(r.length for r in pieces) == sum(map(len, ids.values()))
+    for r in pieces:
+        assert r.doc_tokens == len(ids[r.doc_id]) and r.ids_crc32 == zlib.crc32(np.asarray(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
