@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 
 from tidewright.llm.common import components, materialize, settle, table
 
-#: Projections in a collision count, rows of a cell (about) and rows of a block that one task takes.
-COUNTED, CELL, BLOCK = 32, 200, 1024
+#: Projections in a collision count, rows of a cell (about), rows of a block that one task takes, and
+#: cells (a power of two) that go to a task together.
+COUNTED, CELL, BLOCK, TOGETHER = 32, 200, 1024, 5
 MISS = 0.001
 
 
@@ -59,16 +60,20 @@ def unit(v: np.ndarray) -> np.ndarray:
 
 
 def collisions(x: np.ndarray, y: np.ndarray, width: float) -> np.ndarray:
-    """For each row of x and y the number of projections (columns) where y lies in x's window."""
+    """For each row of x and y the number of projections (columns) where y lies in x's window.
+
+    Each projection is sorted; a window is a run of places on it, from ``lo`` on, ``many`` long.
+    """
+    order = np.argsort(y, axis=0, kind="stable")
+    line = np.ascontiguousarray(np.take_along_axis(y, order, 0).T)
+    place = np.empty(y.shape, np.uint16)
+    np.put_along_axis(place, order, np.arange(len(y), dtype=np.uint16)[:, None], 0)
+    place = np.ascontiguousarray(place.T)
     out = np.zeros((len(x), len(y)), np.uint8)
     for j in range(x.shape[1]):
-        order = np.argsort(y[:, j], kind="stable")
-        line = y[order, j]
-        rank = np.empty(len(y), np.int32)
-        rank[order] = np.arange(len(y), dtype=np.int32)
-        lo = np.searchsorted(line, x[:, j] - width, "left").astype(np.int32)
-        hi = np.searchsorted(line, x[:, j] + width, "right").astype(np.int32)
-        out += (rank[None] >= lo[:, None]) & (rank[None] < hi[:, None])
+        lo = np.searchsorted(line[j], x[:, j] - width, "left").astype(np.uint16)
+        many = np.searchsorted(line[j], x[:, j] + width, "right").astype(np.uint16) - lo
+        out += (place[j][None] - lo[:, None]) < many[:, None]  # places before ``lo`` wrap around to large numbers
     return out
 
 
@@ -116,44 +121,49 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     big = F.ceil(F.col("size") / BLOCK).cast("int")
     met = met.join(sizes, ["dim", "t", "cell"]).withColumn("blocks", big).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("dim", "t", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "v", "cells")
+    dealt = F.when(F.col("blocks") > 1, -1 - F.col("cell")).otherwise(F.shiftright("cell", TOGETHER)).alias("g")
+    met = met.select("dim", "t", dealt, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cell", "own", "rep", "n", "v", "cells")
 
     def meet(key: tuple, group: pa.Table) -> pa.Table:
         dim, t, _, i, j = (k.as_py() for k in key)
-        none = pa.table({"rep": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
-        own, rep, n = (group[c].to_numpy() for c in ("own", "rep", "n"))
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        if not len(left) or not len(right) or len(rep) < 2:
-            return none
+        cell, own, rep, n = (group[c].to_numpy() for c in ("cell", "own", "rep", "n"))
         x = np.concatenate([np.asarray(c.flatten()) for c in group["v"].chunks]).reshape(-1, dim).astype(np.float64)
         shadow = unit(x) @ planes(dim, COUNTED, 1)
-        close = collisions(shadow[left], shadow[right], width) >= least
-        if i == j:  # both directions of a pair by one decision, and no vector with itself
-            close = np.triu(close | close.T, 1)
-        a, b = np.nonzero(close)
+        order = np.lexsort((own, cell))
+        cuts_ = np.flatnonzero(np.diff(cell[order])) + 1
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in np.split(order, cuts_):
+            left, right = (at, at) if i == j else (at[own[at] == i], at[own[at] == j])
+            if len(at) < 2 or not len(left) or not len(right):
+                continue
+            close = collisions(shadow[left], shadow[right], width) >= least
+            if i == j:  # both directions of a pair by one decision, and no vector with itself
+                close = np.triu(close | close.T, 1)
+            p, q = np.nonzero(close)
+            a.append(left[p])
+            b.append(right[q])
+        a, b = np.concatenate(a), np.concatenate(b)
         code = np.concatenate([np.asarray(c.flatten()) for c in group["cells"].chunks]).reshape(-1, tables)
         for s in range(t):  # what an earlier table has is counted there
             if not len(a):
                 break
-            fresh = code[left[a], s] != code[right[b], s]
+            fresh = code[a, s] != code[b, s]
             a, b = a[fresh], b[fresh]
-        if not len(a):
-            return none
         x = x / np.abs(x).max(axis=1, keepdims=True)
         size = np.sqrt((x * x).sum(axis=1))
-        good = np.concatenate([np.einsum("ij,ij->i", x[left[a[k : k + 65536]]], x[right[b[k : k + 65536]]]) for k in range(0, len(a), 65536)]) / (size[left[a]] * size[right[b]]) >= cosine
-        a, b = left[a[good]], right[b[good]]
-        links = np.bincount(a, n[b], len(rep)) + np.bincount(b, n[a], len(rep))
-        order = np.argsort(rep, kind="stable")  # positions by id, so the smallest position is the smallest id
-        place = np.empty(len(rep), int)
-        place[order] = np.arange(len(rep))
-        linked = np.zeros((len(rep), len(rep)), bool)
+        good = [np.einsum("ij,ij->i", x[a[k : k + 65536]], x[b[k : k + 65536]]) / (size[a[k : k + 65536]] * size[b[k : k + 65536]]) >= cosine for k in range(0, len(a), 65536)]
+        if good:
+            a, b = a[np.concatenate(good)], b[np.concatenate(good)]
+        has = np.unique(np.concatenate([a, b]))  # those with a link; smallest numbers first below
+        has = has[np.argsort(rep[has], kind="stable")]
+        place = np.zeros(len(rep), np.int64)
+        place[has] = np.arange(len(has))
+        linked = np.zeros((len(has), len(has)), bool)
         linked[place[a], place[b]] = linked[place[b], place[a]] = True
-        root = rep[order][settle(linked)][place]
-        has = np.flatnonzero(links)
-        return pa.table({"rep": rep[has], "links": links[has].astype(np.int64), "root": root[has]})
+        links = np.bincount(a, n[b], len(rep)) + np.bincount(b, n[a], len(rep))
+        return pa.table({"rep": rep[has], "links": links[has].astype(np.int64), "root": rep[has][settle(linked)] if len(has) else rep[:0]})
 
-    found = materialize(met.groupBy("dim", "t", "cell", "i", "j").applyInArrow(meet, "rep long, links long, root long"), "links")
+    found = materialize(met.groupBy("dim", "t", "g", "i", "j").applyInArrow(meet, "rep long, links long, root long"), "links")
     roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     of = materialize(classes.select("code", "v", "rep", "least_id", (F.col("n") - 1).alias("same")).join(links, "rep", "left").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep")), "linked")
