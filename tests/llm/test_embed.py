@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow.parquet as pq
+import pytest
 
 from tidewright.llm import embed as E
 
@@ -47,8 +48,10 @@ def test_recall_at_the_threshold(spark):
     assert all(got[i].n_links <= k for i, (k, _) in want.items())
 
 
-def test_blocks_of_a_crowded_cell(spark, monkeypatch):
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_blocks_of_a_crowded_cell(spark, monkeypatch, most):
     monkeypatch.setattr(E, "BLOCK", 40)
+    monkeypatch.setattr(E, "BROADCAST_CELLS", most)
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(size=(1, 8)) + 0.05 * rng.normal(size=(300, 8)), rng.normal(size=(300, 8))])
     x = np.concatenate([x, x[:100]])

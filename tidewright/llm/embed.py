@@ -32,6 +32,8 @@ from tidewright.llm.common import components, materialize, settle, table
 #: cells (a power of two) that go to a task together.
 COUNTED, CELL, BLOCK, TOGETHER = 32, 200, 1024, 5
 MISS = 0.001
+#: Crowded cells, rows of four numbers, are broadcast up to so many.
+BROADCAST_CELLS = 100_000
 
 
 def plan(classes: int, cosine: float, miss: float = MISS) -> tuple[int, int]:
@@ -117,9 +119,13 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     coded = materialize(classes.select("v", "rep", "n").mapInArrow(cells, f"v {kind}, rep long, n long, cells array<int>, dim int"), "cells")
     met = coded.select("v", "rep", "n", "cells", "dim", F.posexplode("cells").alias("t", "cell"))
-    sizes = coded.select("dim", F.posexplode("cells").alias("t", "cell")).groupBy("dim", "t", "cell").agg(F.count("*").alias("size")).where("size > 1")
-    big = F.ceil(F.col("size") / BLOCK).cast("int")
-    met = met.join(sizes, ["dim", "t", "cell"]).withColumn("blocks", big).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    # only crowded cells are known by size: a row for each, so mostly none
+    sizes = coded.select("dim", F.posexplode("cells").alias("t", "cell")).groupBy("dim", "t", "cell").agg(F.count("*").alias("size"))
+    crowded = materialize(sizes.where(F.col("size") > BLOCK).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).drop("size"), "crowded")
+    n_crowded = crowded.count()
+    if n_crowded:
+        met = met.join(F.broadcast(crowded) if n_crowded <= BROADCAST_CELLS else crowded, ["dim", "t", "cell"], "left")
+    met = met.withColumn("blocks", F.coalesce("blocks", F.lit(1)) if n_crowded else F.lit(1)).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = F.when(F.col("blocks") > 1, -1 - F.col("cell")).otherwise(F.shiftright("cell", TOGETHER)).alias("g")
     met = met.select("dim", "t", dealt, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cell", "own", "rep", "n", "v", "cells")
