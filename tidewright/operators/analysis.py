@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import time
 import uuid
 from collections.abc import Iterator
@@ -14,28 +13,155 @@ from pyspark.sql import functions as F
 from tidewright.plans import text as T
 
 
+CLAUSES = ("with", "select", "from", "where", "group", "having", "qualify", "order", "limit", "offset")
+SETS = ("union", "intersect", "except")
+JOINS = (",", "join", "inner", "left", "right", "full", "outer", "cross", "natural")
+FLIPPED = {"=": "=", "<>": "<>", "!=": "!=", "<": ">", ">": "<", "<=": ">=", ">=": "<="}
+
+
+def _tree(words: list[str]) -> list:
+    """Words with what stands in parentheses as lists of their own."""
+    stack: list[list] = [[]]
+    for w in words:
+        if w == "(":
+            stack.append([])
+        elif w == ")":
+            inner = stack.pop()
+            stack[-1].append(inner)
+        else:
+            stack[-1].append(w)
+    return stack[0]
+
+
+def _flat(node: list | str) -> str:
+    return node if isinstance(node, str) else " ".join(f"( {_flat(x)} )" if isinstance(x, list) else x for x in node)
+
+
+def _split(node: list, at: tuple[str, ...]) -> tuple[list[list], list[str]]:
+    """The parts of a node between words, and those words; the AND of a BETWEEN is none."""
+    parts, words, between = [[]], [], False
+    for x in node:
+        if isinstance(x, str) and x in at and not (x == "and" and between):
+            words.append(x)
+            parts.append([])
+        else:
+            parts[-1].append(x)
+        between = x == "between" or between and x != "and"
+    return parts, words
+
+
+def _renamed(node: list, names: dict[str, str]) -> list:
+    out = []
+    for i, x in enumerate(node):
+        if isinstance(x, list):
+            out.append(_renamed(x, names))
+        else:
+            out.append(names.get(x, x) if i + 1 < len(node) and node[i + 1] == "." else x)
+    return out
+
+
+def _expression(node: list) -> list:
+    """Operands of + and of * in one order, in each run of one of them; what is in parentheses first."""
+    node = [_query(x) if isinstance(x, list) else x for x in node]
+    words = [x for x in node if isinstance(x, str)]
+    if any(x in ("and", "or", "not", "in", "like", ",", "between", "case", "-", "||", *FLIPPED) for x in words):
+        return node
+    for op in ("+", "*"):
+        if op in words and not (op == "*" and ("/" in words or "%" in words)):
+            parts = [_expression(p) for p in _split(node, (op,))[0]]
+            if all(parts):
+                return [y for i, p in enumerate(sorted(parts, key=_flat)) for y in ([op] if i else []) + p]
+    return node
+
+
+def _condition(node: list) -> list[str]:
+    """The AND terms of a condition, each in one form: sides of comparisons in order, OR terms sorted."""
+    terms = []
+    for part in _split(node, ("and",))[0] if len(_split(node, ("or",))[0]) == 1 else [node]:
+        if len(part) == 1 and isinstance(part[0], list) and not any(x in CLAUSES for x in part[0] if isinstance(x, str)):
+            inner = _split(part[0], ("or",))[0]
+            if len(inner) == 1:
+                terms += _condition(part[0])
+                continue
+            part = part[0]
+        ors = _split(part, ("or",))[0]
+        if len(ors) > 1:
+            terms.append("( " + " or ".join(sorted(" and ".join(_condition(o)) for o in ors)) + " )")
+            continue
+        sides, ops = _split(part, tuple(FLIPPED))
+        if len(ops) == 1 and "not" not in part and "case" not in part:
+            left, right = (_flat(_expression(x)) for x in sides)
+            terms.append(f"{left} {ops[0]} {right}" if left <= right else f"{right} {FLIPPED[ops[0]]} {left}")
+        else:
+            terms.append(_flat(_expression(part)))
+    return sorted(terms)
+
+
+def _query(node: list) -> list:
+    """A query with its tables in place of aliases, inner joins and their conditions sorted; other nodes are expressions."""
+    if "select" not in [x for x in node if isinstance(x, str)]:
+        if "case" in node:
+            return _expression(node)
+        if any(x in ("and", "or") for x in node if isinstance(x, str)):
+            return [" and ".join(_condition(node))]
+        parts, commas = _split(node, (",",))
+        return [y for i, p in enumerate(parts) for y in ([","] if i else []) + _expression(p)] if commas else _expression(node)
+    if any(x in SETS for x in node if isinstance(x, str)):
+        parts, words = _split(node, SETS)
+        return [y for i, p in enumerate(parts) for y in ([words[i - 1]] if i else []) + (["all", *_query(p[1:])] if p[:1] == ["all"] else _query(p))]
+    clauses: dict[str, list] = {}
+    at = ""
+    for x in node:
+        if isinstance(x, str) and x in CLAUSES and x not in clauses:
+            at = x
+            clauses[at] = []
+        else:
+            clauses.setdefault(at, []).append(x)
+    names, tables, extra, plain, kinds = {}, [], [], True, {}
+    items, words = _split(clauses.get("from", []), JOINS)
+    for item in (i for i in items if i):
+        head, *on = _split(item, ("on",))[0]
+        table = head[: next((k for k in range(1, len(head)) if isinstance(head[k], str) and head[k] != "." and head[k - 1] != "."), len(head))]
+        alias = [x for x in head[len(table) :] if x != "as"]
+        name = _flat([_query(x) if isinstance(x, list) else x for x in table]) if any(isinstance(x, list) for x in table) else _flat(table)
+        kinds[name] = kinds.get(name, 0) + 1
+        name = name if kinds[name] == 1 else f"{name} #{kinds[name]}"
+        plain = plain and len(alias) <= 1 and isinstance(table[0], str)
+        if len(alias) == 1 and isinstance(alias[0], str):
+            names[alias[0]] = name
+        tables.append(name)
+        extra += on
+    plain = plain and set(words) <= {",", "join", "inner"}
+    if not plain:  # outer joins and derived tables stay where they are
+        names = {k: v for k, v in names.items() if "(" not in v}
+    out = []
+    for c in clauses:
+        body = _renamed(clauses[c], names)
+        if c == "select":
+            listed = []
+            for part in _split(body, (",",))[0]:
+                cut = part.index("as") if "as" in [x for x in part if isinstance(x, str)] else len(part)
+                listed.append(_flat(_expression(part[:cut])))
+            body = [" , ".join(listed)]
+        elif c == "from" and plain:
+            body = [" , ".join(sorted(tables))]
+            if "where" not in clauses and extra:
+                body += ["where", " and ".join(sorted(t for o in extra for t in _condition(_renamed(o, names))))]
+        elif c == "where":
+            body = [" and ".join(sorted([*_condition(body), *(t for o in extra for t in _condition(_renamed(o, names)) if plain)]))]
+        elif c == "having":
+            body = [" and ".join(_condition(body))]
+        else:
+            body = [_query(x) if isinstance(x, list) else x for x in body]
+        out += [c, *body] if c else body
+    return out
+
+
 def structure(sql: str) -> str | None:
-    """A query's shape: placeholders for literals, no aliases, and one order for equalities, AND terms, IN lists and inner joins."""
+    """A query's shape: placeholders for literals, tables in place of aliases, no output names, and one order for the sides of
+    comparisons, the operands of + and *, AND and OR terms, and inner joins, whose conditions count as conditions of the query."""
     key = T.normalize(sql)
-    if key is None:
-        return None
-    alias = {m[2]: m[1] for m in re.finditer(r"(?:from|join|,) (\w+) (?:as )?(\w+)(?= (?:where|on|,|join|inner|left|group|order|limit)|$)", key) if m[2] not in ("where", "on", "join", "inner", "left", "group", "order", "limit", "as")}
-    for a, t in alias.items():
-        key = re.sub(rf"\b{t} (?:as )?{a}\b", t, key)
-        key = re.sub(rf"\b{a} \. ", f"{t} . ", key)
-    key = re.sub(r"\bas (\w+)(?= (?:,|from))", "", key)
-    key = re.sub(r"\binner join\b", "join", key)
-    m = re.search(r" where (.*?)(?= group by | order by | limit | having |$)", key)
-    if m and "(" not in m[1].replace("( ? )", "") and " or " not in m[1] and " between " not in m[1]:
-        terms = []
-        for term in m[1].split(" and "):
-            side = [x.strip() for x in term.split(" = ")]
-            terms.append(" = ".join(sorted(side)) if len(side) == 2 else term.strip())
-        key = key[: m.start(1)] + " and ".join(sorted(terms)) + key[m.end(1) :]
-    m = re.search(r" from (.*?)(?= where | group by | order by | limit |$)", key)
-    if m and "(" not in m[1] and "left" not in m[1] and "on" not in m[1].split():
-        key = key[: m.start(1)] + " , ".join(sorted(x.strip() for x in re.split(r" , | join ", m[1]))) + key[m.end(1) :]
-    return " ".join(key.split())
+    return None if key is None else _flat(_query(_tree(key.split())))
 
 
 def _values(sql: str) -> str:

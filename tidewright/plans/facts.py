@@ -7,6 +7,7 @@ the answer is a verdict.
 from __future__ import annotations
 
 import contextlib
+import functools
 import json
 import os
 import tempfile
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.connection import Connection, NoResultError, WriteBlockedError
+from tidewright.functions.handlers import Handlers, SparkEngine
 from tidewright.operators import analysis, compare, params, subset, workload
 from tidewright.plans import router
 from tidewright.plans import text as T
@@ -316,6 +318,54 @@ def workload_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame(spark, out)
 
 
+def handled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UDF-1 to UDF-3: an engine's life, and statement and transaction handlers that return lists, iterators and async iterators."""
+    engine = SparkEngine(spark, [])
+    engine.load_data(sf_dir)
+    t = router.make_template(spark, "names", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = [R]")
+    wrong = router.make_template(spark, "wrong", "SELECT n_name FROM nation WHERE n_nationkey = [K]", lambda s, v: s.sql("SELECT 1 AS n_name"))
+    engine.templates = {x.template_id: x for x in (t, wrong)}
+    healthy = engine.health()
+    rows = [("engine", r["n_nationkey"], r["n_name"]) for r in engine.run("names", {"R": 2}).to_pylist()]
+    rows.append(("wrong types", None, refusal(lambda: engine.run("wrong", {"K": 1}))))
+    names = {r.n_nationkey: r.n_name for r in read_table(spark, sf_dir, "nation").collect()}
+    engine.close()
+    rows += [("closed", None, refusal(lambda: engine.run("names", {"R": 2}))), ("healthy", None, f"{healthy}, {engine.health()}")]
+
+    async def later(given):
+        for k, in given[1:]:
+            yield "transaction", k, names[k]
+
+    handlers = Handlers(spark)
+    schema = "way string, n_nationkey int, n_name string"
+    handlers.on("select n_name from nation where n_nationkey = 1", schema, lambda v: [("statement", v[0], names[v[0]])])
+    handlers.on("select n_name from nation where n_nationkey < 1", schema, lambda v: (("iterator", k, names[k]) for k in range(v[0])))
+    handlers.on(["select 1", "select n_name from nation n where n.n_nationkey = 2"], schema, later)
+    asked = ["SELECT n_name FROM nation AS x WHERE 7 = n_nationkey", "select n_name from nation where n_nationkey < 3", ["select 5", "SELECT n_name FROM nation WHERE nation.n_nationkey = 11"]]
+    got = [handlers.answer(q) for q in asked]
+    rows += [("unknown", None, str(handlers.answer("select 1 from region")))]
+    return functools.reduce(DataFrame.unionAll, [spark.createDataFrame(rows, schema), *[g for g in got if g is not None]])
+
+
+def shape_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AN-1: pairs of queries that are one shape, by the rule that makes them so, and pairs that are not."""
+    return frame(spark, [(rule, analysis.structure(a) == analysis.structure(b)) for rule, a, b, _ in SHAPES])
+
+
+SHAPES: list[tuple[str, str, str, bool]] = [
+    ("placeholders and sides", "select a.x from t a where a.x = 5 and a.z > a.y", "SELECT t.x FROM t WHERE t.y < t.z AND 3 = t.x", True),
+    ("inner joins, OR terms, BETWEEN", "select 1 from a, b where a.i = b.j and a.k between 1 and 2 and (a.z = 1 or b.y = 2)", "select 1 from b q join a p on q.j = p.i where (q.y = 7 or p.z = 3) and p.k between 4 and 5", True),
+    ("operands and output names", "select sum(a * b + c) from t where x in (1, 2) group by d", "select sum(c + b * a) as s from t where x in (3) group by d", True),
+    ("subqueries", "select 1 from a where exists (select 1 from b z where z.k = a.k and z.v = 1)", "select 1 from a where exists (select 1 from b where 4 = b.v and a.k = b.k)", True),
+    ("unions", "select a from t union all select b as c from u where x = 1 and y = 2", "select a from t union all select b from u where y = 3 and x = 4", True),
+    ("outer joins stay", "select 1 from a left join b on a.i = b.i", "select 1 from b left join a on a.i = b.i", False),
+    ("differences stay", "select a - b from t", "select b - a from t", False),
+    ("AND and OR stay apart", "select 1 from t where a = 1 or b = 2 and c = 3", "select 1 from t where (a = 1 or b = 2) and c = 3", False),
+    ("columns stay", "select 1 from t a, t b where a.x < b.x", "select 1 from t a, t b where a.x < b.y", False),
+    ("cases stay whole", "select sum(case when a = 1 or b = 2 then 1 else 0 end) from t", "select sum(case when b = 2 or a = 1 then 1 else 0 end) from t", False),
+]
+
+
 def benched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two systems timed on two entries: which rows come, not how long they took."""
     register_folder(spark, sf_dir, ["nation", "region"])
@@ -327,6 +377,7 @@ def benched(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "text_facts": text_facts, "bound_rows": bound_rows, "parameter_query": parameter_query, "parameter_facts": parameter_facts, "subset_facts": subset_facts, "sampled": sampled, "sinks_read_back": sinks_read_back,
     "delimited_source": delimited_source, "query_log": query_log, "router_facts": router_facts, "result_rows": result_rows, "compare_facts": compare_facts, "workload_facts": workload_facts, "benched": benched,
+    "handled_rows": handled_rows, "shape_facts": shape_facts,
 }
 
 _HOLES = {
@@ -369,5 +420,9 @@ UNION ALL SELECT way, n_nationkey, n_name FROM nation, (VALUES ('arrow'), ('pand
     "workload_facts": values([
         ("instances", "(22, True, 20)"), ("cache", "(2, 2, 1)"), ("timers", "{'run': 3}"), ("report", True), ("inspected", "NATION_3"), ("inspected too much", "(more than 2 rows)"), ("inspected a write", "PermissionError"), ("plan", True),
         ("read schema", True), ("registered", "['customer', 'lineitem', 'nation', 'orders', 'part', 'region', 'supplier']"), ("listed", True), ("base tables", False), ("warmed", 1), ("explained", True), ("kept in memory", 5)]),
+    "handled_rows": """SELECT 'engine' AS way, n_nationkey, n_name FROM nation WHERE n_regionkey = 2 UNION ALL SELECT 'statement', n_nationkey, n_name FROM nation WHERE n_nationkey = 7
+UNION ALL SELECT 'iterator', n_nationkey, n_name FROM nation WHERE n_nationkey < 3 UNION ALL SELECT 'transaction', n_nationkey, n_name FROM nation WHERE n_nationkey = 11
+UNION ALL VALUES ('wrong types', NULL, 'ExecutionError'), ('closed', NULL, 'UnsupportedError'), ('healthy', NULL, 'True, False'), ('unknown', NULL, 'None')""",
+    "shape_facts": values([(rule, same) for rule, _, _, same in SHAPES]),
     "benched": "SELECT query_id, system, true AS timed FROM (VALUES ('nation'), ('region')) AS q(query_id), (VALUES ('one'), ('two')) AS s(system)",
 }
