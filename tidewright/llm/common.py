@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +47,22 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(BATCH_ROWS, str(rows))
 
 
+def _trimmer():
+    try:
+        return ctypes.CDLL(None).malloc_trim  # glibc alone has it
+    except (OSError, AttributeError):
+        return lambda _: 0
+
+
+_TRIM = _trimmer()
+
+
+def tidy() -> None:
+    """Give back memory that a task held: its worker waits for tasks of other stages, beside a heap that grows."""
+    pa.default_memory_pool().release_unused()
+    _TRIM(0)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a scratch table, wherever it is stored."""
     jvm = spark.sparkContext._jvm

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import materialize, release, scratch_path, small_batches, table
+from tidewright.llm.common import materialize, release, scratch_path, small_batches, table, tidy
 from tidewright.llm.tokens import chunks, encoder
 
 STRIDE, BLOCK = 128, 1 << 17
@@ -212,6 +212,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
         used = np.flatnonzero(total)
         if len(used):
             yield pa.RecordBatch.from_pylist([{"used": used.tolist(), "times": total[used].tolist()}], schema=coded)
+        tidy()
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
@@ -235,7 +236,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
                 yield part, block, len(ids), pack_payload(keys, n, ids.astype(np.int64), before, bits, codes)
                 before += len(ids)
 
-        return _batches(payloads(), made, lambda r: len(r[3]))
+        yield from _batches(payloads(), made, lambda r: len(r[3]))
+        tidy()
 
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, int(counts.sum()) * np.dtype(kind).itemsize // PART))
@@ -269,7 +271,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                     for doc, before, ids in open_payload(payload.as_py(), decoder):
                         yield part, doc, before, len(ids), ids.astype("<u4").tobytes()
 
-        return _batches(rows(), schema, lambda r: len(r[4]))
+        yield from _batches(rows(), schema, lambda r: len(r[4]))
+        tidy()
 
     docs = spark.read.parquet(f"{path}/blocks").select("part", "payload").mapInArrow(expand, "part int, doc_id long, before long, n_tokens long, ids binary")
     parts = spark.read.parquet(f"{path}/parts")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import forest, joined_up, materialize, release, settle, small_batches, table
+from tidewright.llm.common import forest, joined_up, materialize, release, settle, small_batches, table, tidy
 
 HASHES, BITS = 128, 2
 #: Chance that a pair at the threshold shares no band, at most.
@@ -128,6 +128,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, width: int, rows: int) -
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()),
                     pa.array([p[0] for p in pairs], pa.list_(pa.int64())), pa.array([p[1] for p in pairs], pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_key", "bands", "signature"])
+        tidy()
 
     return d.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, signature array<long>")
 
@@ -144,6 +145,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> Dat
                 offsets = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
                 flat = pa.array(np.concatenate(sets)) if sets else pa.array([], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["id", "shingles"])
+        tidy()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, shingles array<long>")
 

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import small_batches, table
+from tidewright.llm.common import small_batches, table, tidy
 from tidewright.llm.tokens import chunks, encoder
 
 SIZE = 2048
@@ -159,6 +159,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
             emit(window)
         if rows[0]:
             yield flush()
+        tidy()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(pack, SCHEMA)
 

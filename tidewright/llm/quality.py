@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import materialize, small_batches, table
+from tidewright.llm.common import materialize, small_batches, table, tidy
 
 #: Labelled documents that the classifier is fitted on at most, taken by a hash of their id.
 SAMPLE = 5000
@@ -183,6 +183,7 @@ def score(docs: DataFrame, model: Classifier, id_col: str, text_col: str, host_c
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
                 yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(model.evidence(b.column(0).to_pylist()))], names=names)
+        tidy()
 
     kind = f", carried {d.schema['carried'].dataType.simpleString()}" if carry else ""
     return d.mapInArrow(run, f"doc_id long, host string, path string{kind}, evidence double")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import small_batches, table
+from tidewright.llm.common import small_batches, table, tidy
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 KEYWORDS = ("passw", "secret", "token", "api")
@@ -256,6 +256,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     columns.append(pa.array([t if t is None or not f else redact(t, f) for t, f in zip(texts, found, strict=True)], pa.string()))
                 names = ["doc_id", "findings", "redacted"][: len(columns)] + list(carry)
                 yield pa.RecordBatch.from_arrays(columns + part.columns[2:], names=names)
+        tidy()
 
     return keep.mapInArrow(scan, schema)
 
