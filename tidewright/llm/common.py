@@ -20,6 +20,8 @@ BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 #: Rows of a scratch table's file at least, where the number of rows is known.
 FILE_ROWS = 10_000
+#: Parts that the rows of a key are dealt into where they meet what their group comes to.
+DEALT = 64
 
 _ROOTS: dict[str, str] = {}
 
@@ -109,14 +111,26 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_GAP), "")
 
 
+def with_least(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """Rows with the least ``value`` of their ``key`` as ``name``; a null key goes.
+
+    The rows of a key are dealt into 64 parts by their value, and the least value goes to each part that has
+    rows, so a key that holds very many rows is the work of many tasks, which adaptive execution may split further.
+    """
+    dealt = rows.withColumn("deal", F.pmod(F.xxhash64(value), F.lit(DEALT)).cast("int"))
+    parts = dealt.groupBy(key, "deal").agg(F.min(value).alias("low"))
+    whole = parts.groupBy(key).agg(F.min("low").alias(name), F.collect_list("deal").alias("deals"))
+    return dealt.join(whole.select(key, name, F.explode("deals").alias("deal")), [key, "deal"]).drop("deal")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b), by alternating large-star and small-star steps.
 
     Returns (node, root) for every node that has an edge, root being the smallest node of the
-    component. A round is two aggregations and two joins, written to the shared folder; the loop
-    ends when a round leaves the edge set as it was. Joins on a node with very many edges may be
-    split by adaptive execution. Nothing but a count and a checksum is collected. Null ends and loops
-    are ignored; an empty table gives an empty result.
+    component. A round is two joins with the least neighbour, written to the shared folder; the loop
+    ends when a round leaves the edge set as it was. A node's edges are dealt over many tasks. Nothing
+    but a count and a checksum is collected. Null ends and loops are ignored; an empty table gives an
+    empty result.
     """
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     now = materialize(edges.where("a > b").distinct(), "edges")
@@ -127,10 +141,8 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = after
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(
+        large = with_least(both, "a", "b", "m").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a > b").distinct()
+        small = with_least(large, "a", "b", "m").select(F.explode(F.array(
             F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b"))
         )).alias("e")).select("e.a", "e.b")
         small = materialize(small.where("a > b").distinct(), "edges", 2 * after[0])

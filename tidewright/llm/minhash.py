@@ -197,7 +197,8 @@ def compare_blocks(members: DataFrame, percent: int) -> DataFrame:
     weight = F.size("shingles").cast("long").alias("w")
     size = members.select("cluster", "root", weight).groupBy("cluster", "root").agg(F.count("*").alias("k"), F.sum("w").alias("w")).groupBy("cluster").agg(
         F.sum("k").alias("n"), F.sum("w").alias("w"), F.max(F.struct("k", "root", "w")).alias("top"))
-    size = size.select("cluster", "n", "w", F.col("top.k").alias("settled"), F.col("top.w").alias("settled_w"), F.col("top.root").alias("main"))
+    # a table of its own: a join with it can be split where a cluster is large
+    size = materialize(size.select("cluster", "n", "w", F.col("top.k").alias("settled"), F.col("top.w").alias("settled_w"), F.col("top.root").alias("main")), "sizes")
     total = members.agg(F.sum(F.size("shingles").cast("long"))).first()[0] or 0
     m = members.join(size, "cluster")
     small = (F.col("n") <= BLOCK) & (F.col("w") <= BLOCK_SHINGLES)
@@ -244,7 +245,7 @@ def across_clusters(cells: DataFrame, clusters: DataFrame, signatures: DataFrame
     """
     known = cells.select("cell", "rep").join(clusters.toDF("rep", "cluster"), "rep", "left").withColumn("cluster", F.coalesce("cluster", "rep"))
     mixed = known.groupBy("cell").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-    mixed = mixed.select("cell", F.ceil(F.col("n") / MEET).cast("int").alias("blocks"))
+    mixed = materialize(mixed.select("cell", F.ceil(F.col("n") / MEET).cast("int").alias("blocks")), "mixed")
     members = materialize(known.join(mixed, "cell").join(signatures, "rep").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "open")
     x = members.select("cell", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), F.col("cluster").alias("ca"), F.col("signature").alias("s"))
     y = members.select("cell", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), F.col("cluster").alias("cb"), F.col("signature").alias("t"))
@@ -273,8 +274,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialize(classes, "classes", rows.count())
     cells = classes.select("rep", F.explode("bands").alias("cell"))
     shared = cells.groupBy("cell").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first <> last")
+    shared = materialize(shared.select("cell", "first"), "shared", 8 * classes.count())
     # only cells of two classes and more; a class has a row for each band at most
-    cells = materialize(cells.join(shared.select("cell", "first"), "cell"), "cells", 8 * classes.count())
+    cells = materialize(cells.join(shared, "cell"), "cells", 8 * classes.count())
+    release(shared)
     signatures = classes.select("rep", "signature")
     a_sig, b_sig = signatures.toDF("a", "s"), signatures.toDF("b", "t")
     stars = cells.where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()
@@ -298,6 +301,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = materialize(forest(links), "roots")
     members = clusters.toDF("id", "cluster").join(roots.toDF("id", "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     unsettled = members.groupBy("cluster").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("cluster")
+    unsettled = materialize(unsettled, "unsettled")
     members = materialize(members.join(unsettled, "cluster").join(sets, "id").select("id", "cluster", "root", "shingles"), "members")
     release(sets)
     more = materialize(compare_blocks(members, percent), "more")
