@@ -148,12 +148,19 @@ def python_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT w.word, tw_geomean(t.n_nationkey + 1) AS g FROM (SELECT n_nationkey, n_regionkey, tw_initials(n_name) AS i FROM nation) t, LATERAL tw_words(t.i) w GROUP BY w.word").select("word", F.round("g", 6).alias("g"))
 
 
+#: Quotients of columns, some by zero; DuckDB gives infinities for them.
+DIVISION = (
+    "SELECT c_custkey, c_acctbal / (c_nationkey - 3) AS q, c_nationkey * 2 / nullif(c_nationkey % 4, 1) / 3 AS r, "
+    "CASE WHEN c_acctbal > 0 THEN 1 ELSE -1 END / (c_nationkey - 3) AS s FROM customer"
+)
+
 QUERIES = {
     "subset_closure": subset_closure, "subset_full": subset_full, "scale_up": scale_up, "routed_query": routed_query, "asof_join": asof_orders, "range_join": range_join,
     "result_diff": result_diff, "closed_top": closed_top, "log_shapes": log_shapes, "schema_check": schema_check, "summarize": summary, "stream_windows": stream_windows, "session_windows": session_windows, "python_functions": python_functions,
     "dialect_qualify": dialect_query("SELECT c_nationkey, c_custkey FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) <= 2"),
     "dialect_regex": dialect_query("SELECT c_custkey FROM customer WHERE c_name ~ '.*[13579]'"),
     "dialect_replace": dialect_query("SELECT s_suppkey, regexp_replace(s_name, '([0-9])', '<\\1>') AS one, regexp_replace(s_name, '[0-9]', '#', 'g') AS every, strlen(s_name) AS bytes FROM supplier"),
+    "dialect_division": dialect_query(DIVISION),
     "dialect_from_first": dialect_query("FROM region"),
     "dialect_star_replace": dialect_query("SELECT * REPLACE (lower(r_name) AS r_name) FROM region"),
 }
@@ -184,6 +191,7 @@ SELECT user_id, CAST(sum(new) AS BIGINT) AS sessions, count(*) AS events FROM g
     "dialect_qualify": "SELECT c_nationkey, c_custkey FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) <= 2",
     "dialect_regex": "SELECT c_custkey FROM customer WHERE regexp_full_match(c_name, '.*[13579]')",
     "dialect_replace": "SELECT s_suppkey, regexp_replace(s_name, '([0-9])', '<\\1>') AS one, regexp_replace(s_name, '[0-9]', '#', 'g') AS every, CAST(strlen(s_name) AS INT) AS bytes FROM supplier",
+    "dialect_division": DIVISION,
     "dialect_from_first": "FROM region",
     "dialect_star_replace": "SELECT * REPLACE (lower(r_name) AS r_name) FROM region",
 }
