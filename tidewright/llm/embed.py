@@ -173,7 +173,7 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     of = materialize(classes.select("code", "v", "rep", "least_id", (F.col("n") - 1).alias("same")).join(links, "rep", "left").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep")), "linked")
-    lowest = of.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    lowest = materialize(of.groupBy("root").agg(F.min("least_id").alias("component_id")), "lowest")  # a table, so a large root's join can be split
     of = of.join(lowest, "root").select(F.col("code").alias("c"), F.col("v").alias("w"), (F.col("same") + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
     out = rows.join(of, (F.col("code") == F.col("c")) & (F.col("v") == F.col("w")), "left")
     component = F.coalesce("component_id", "vec_id")
