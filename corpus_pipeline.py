@@ -41,9 +41,10 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = near_duplicates(numbered, id_col="row", width=5, percent=80).where("component_id IS NOT NULL").select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
     groups = materialize(groups, "groups")
     ids = numbered.select("row", "doc_id")
-    several = groups.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
-    members = groups.join(several, "component").join(ids, "row")
-    first = members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    # tables of their own: joins with them can be split where a group is large
+    several = materialize(groups.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component"), "several")
+    members = materialize(groups.join(several, "component").join(ids, "row"), "members")
+    first = materialize(members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")), "first")
     gone = members.join(first, "component").where("row <> first.row").select("row")
     return numbered.join(gone, "row", "left_anti").select(COLUMNS)
 
