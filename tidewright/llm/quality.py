@@ -205,8 +205,8 @@ def judge(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Add host_prior, path_prior, posterior and kept to (doc_id, host, path, evidence) rows.
 
     Sums by path combine on the map side, and hosts are sums of paths, so a host with a third of all
-    rows is a few partial sums. Sums go back to the rows by a join on path that may be split; a row's
-    own share is taken off there.
+    rows is a few partial sums. Sums go back to the rows by a join on path, which adaptive execution may
+    split where Spark does not broadcast them by their size; a row's own share is taken off there.
     """
     q = 1 / (1 + F.exp(-F.col("evidence")))
     paths = materialize(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(q).alias("s")), "paths")
@@ -217,7 +217,8 @@ def judge(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     both = paths.join(hosts.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h")), "left").drop("h")
     shrunk = (F.col("hs") + a * mean) / (F.col("hn") + a)
     b = _strength(both.select("n", (F.col("s") / F.col("n")).alias("p"), shrunk.alias("host_prior")), F.col("host_prior"))
-    sums = both.select(F.col("path").alias("of"), "n", "s", "hn", "hs")
+    # a table of its own: while it is small, rows with all they carry stay where they are
+    sums = materialize(both.select(F.col("path").alias("of"), "n", "s", "hn", "hs"), "sums")
     out = scored.join(sums, F.col("path") == F.col("of"), "left").withColumn("own", q)
     out = out.withColumn("host_prior", (F.greatest(F.col("hs") - F.col("own"), F.lit(0.0)) + a * mean) / (F.col("hn") - 1 + a))
     out = out.withColumn("path_prior", (F.greatest(F.col("s") - F.col("own"), F.lit(0.0)) + b * F.col("host_prior")) / (F.col("n") - 1 + b))
